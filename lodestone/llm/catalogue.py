@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.llm import encoding, formatting
+from lodestone.llm import encoding, formatting, packing
 
-_MODULES = (formatting, encoding)
+_MODULES = (formatting, encoding, packing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
