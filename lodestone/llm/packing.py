@@ -101,7 +101,7 @@ def nnls(a: np.ndarray, b: np.ndarray, most: int | None = None) -> np.ndarray:
         active[j] = True
         while True:
             at = np.flatnonzero(active)
-            s = np.linalg.lstsq(gram[np.ix_(at, at)], rhs[at], rcond=None)[0]
+            s = np.linalg.solve(gram[np.ix_(at, at)] + 1e-9 * np.eye(len(at)), rhs[at])
             if (s > 0).all():
                 break
             old = x[at]
@@ -218,8 +218,9 @@ def pack(items: DataFrame, capacities: dict[int, int]) -> DataFrame:
     spark = items.sparkSession
     if not capacities:
         return spark.createDataFrame([], "group long, id long, part long, n_tokens long, container long")
-    cap = F.create_map(*[F.lit(x) for kv in capacities.items() for x in kv]).getItem(F.col("group"))
-    split = items.withColumn("cap", cap.cast("long"))
+    cap = F.create_map(*[F.lit(x).cast("long") for kv in capacities.items() for x in kv])[F.col("group")]
+    split = items.select(F.col("group").cast("long").alias("group"), "id", F.col("size").cast("long").alias("size"))
+    split = split.withColumn("cap", cap.cast("long"))
     split = split.select("group", "id", "cap", F.expr("case when size > cap then (size - 1) div cap else 0 end").alias("full"), "size")
     split = split.withColumn("rest", F.col("size") - F.col("full") * F.col("cap"))
     total = max(1, split.count())
