@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.llm import defects, encoding, formatting, packing
+from lodestone.llm import defects, encoding, formatting, packing, sentences
 
-_MODULES = (formatting, encoding, packing, defects)
+_MODULES = (formatting, encoding, packing, defects, sentences)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import WORD, words
+from lodestone.llm.text import WORD, bounded_sample, words
 from lodestone.session import table
 
 #: Responses of which the model of sentence ends is trained, at most.
@@ -435,8 +435,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def train(df: DataFrame, sample: int = SAMPLE) -> EndModel:
     """The model of sentence ends of at most ``sample`` responses with several words, by the hash of their text."""
-    long = df.filter(F.length("response") > 60).select("response", F.xxhash64("response").alias("h"))
-    return fit_ends([r["response"] for r in long.orderBy("h", "response").limit(sample).collect()])
+    return fit_ends(bounded_sample(df.filter(F.length("response") > 60).select("response"), "response", sample))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Maximal runs of letters and digits.
@@ -32,3 +32,17 @@ def bare_text(s: str | None) -> str:
 
 def words(s: str | None) -> list[str]:
     return WORD.findall((s or "").lower())
+
+
+def bounded_sample(df: DataFrame, text: str, most: int) -> list[str]:
+    """About ``most`` texts, at most, chosen by their hash: the same for any partitioning.
+
+    The share is set from the number of rows, so that tasks send only chosen rows.
+    """
+    n = df.count()
+    if not n:
+        return []
+    share = min(1.0, 0.95 * most / n)
+    limit = int(share * 2**31) if share < 1 else 2**31
+    chosen = df.filter(F.pmod(F.xxhash64(text), F.lit(2**31)) < limit).select(text)
+    return sorted(r[0] for r in chosen.take(most))
