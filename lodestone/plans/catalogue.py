@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import integrity
+from lodestone.plans import integrity, retrieval
 
-QUERIES = {**integrity.QUERIES}
-SQL = {**integrity.SQL}
+_MODULES = (retrieval, integrity)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
+flagship = retrieval.metric_summary
