@@ -103,7 +103,7 @@ def human_number(c: Column, base: float = 1000.0) -> Column:
         cond = F.abs(c) >= F.lit(base**power)
         text = F.concat(F.format_string("%.1f", c / F.lit(base**power)), F.lit(suffix))
         out = F.when(cond, text) if out is None else out.when(cond, text)
-    return out.otherwise(F.format_string("%.1f", c.cast("double")))
+    return F.when(c.isNotNull(), out.otherwise(F.format_string("%.1f", c.cast("double"))))
 
 
 def highlight(text: Column, words: Sequence[str], left: str = "[", right: str = "]") -> Column:

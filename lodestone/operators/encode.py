@@ -17,12 +17,12 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 def hashed_bag(df: DataFrame, text: str, dim: int = 64, ident: str = "row_idx") -> DataFrame:
     """``(ident, vector)``: unit vectors of signed word hashes, all in the JVM. Texts without words have the zero vector."""
-    h = lambda t: F.xxhash64(t)
-    slot = lambda t: F.pmod(h(t), F.lit(dim)).cast("int")
-    sign = lambda t: F.when(F.pmod(F.shiftright(h(t), 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    add = lambda a, t: F.transform(a, lambda x, i: F.when(i == slot(t), x + sign(t)).otherwise(x))
-    raw = F.aggregate(tokens(F.col(text)), F.array_repeat(F.lit(0.0), dim), add)
-    return df.select(ident, normalised(raw).alias("vector"))
+    t = df.select(ident, F.explode_outer(tokens(F.col(text))).alias("t")).select(ident, F.xxhash64("t").alias("h"), F.col("t").isNotNull().alias("has"))
+    sign = F.when(F.pmod(F.shiftright("h", 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    slots = t.groupBy(ident, F.pmod("h", F.lit(dim)).cast("int").alias("i")).agg(F.sum(F.when(F.col("has"), sign).otherwise(0.0)).alias("x"))
+    maps = slots.groupBy(ident).agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))  # at most dim entries
+    raw = maps.select(ident, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("v"))
+    return raw.select(ident, normalised(F.col("v")).alias("vector"))
 
 
 def encode(df: DataFrame, text: str, make: Callable[[], Encoder], ident: str = "row_idx", batch: int = 512) -> DataFrame:
