@@ -101,7 +101,7 @@ def human_number(c: Column, base: float = 1000.0) -> Column:
     out = None
     for suffix, power in (("T", 4), ("G", 3), ("M", 2), ("K", 1)):
         cond = F.abs(c) >= F.lit(base**power)
-        text = F.concat(F.format_string("%.1f", c / F.lit(base**power)), F.lit(suffix))
+        text = F.concat(F.format_string("%.1f", F.round(c / F.lit(base**power), 1)), F.lit(suffix))
         out = F.when(cond, text) if out is None else out.when(cond, text)
     return F.when(c.isNotNull(), out.otherwise(F.format_string("%.1f", c.cast("double"))))
 

@@ -324,7 +324,7 @@ SQL = {
     "section_hashes": f"SELECT id, loaded_at, {_H.format(c=chr(99) + 'ontent', t='title')} AS hash FROM {_LIVE}",
     "word_counts": f"SELECT doc_id, len({_WORDS})::INT AS n_words, len(list_filter({_WORDS}, lambda w: NOT list_contains({_STOP}, w)))::INT AS n_kept FROM documents",
     "highlighted": f"SELECT id, loaded_at, regexp_replace(content, '(?i)\\b(museum|harbour)\\b', '[\\1]', 'g') AS body FROM {_LIVE} WHERE lang = 'en'",
-    "text_formats": f"""SELECT doc_id, {_NAMES}[lower(substr(lang, 1, 2))] AS language, CASE WHEN n_chars >= 1000000 THEN printf('%.1fM', n_chars / 1000000.0::DOUBLE) WHEN n_chars >= 1000 THEN printf('%.1fK', n_chars / 1000.0::DOUBLE) ELSE printf('%.1f', n_chars::DOUBLE) END AS size,
+    "text_formats": f"""SELECT doc_id, {_NAMES}[lower(substr(lang, 1, 2))] AS language, CASE WHEN n_chars >= 1000000 THEN printf('%.1fM', round(n_chars / 1000000.0::DOUBLE, 1)) WHEN n_chars >= 1000 THEN printf('%.1fK', round(n_chars / 1000.0::DOUBLE, 1)) ELSE printf('%.1f', n_chars::DOUBLE) END AS size,
         'doc_of_' || lower(source) AS snake FROM documents""",
     "lookup_weights": "SELECT event_id, CASE event_type WHEN 'click' THEN 2.0::DOUBLE WHEN 'view' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM events",
     "inverse_frequency_weights": "SELECT o_orderkey, round(1.0::DOUBLE / count(*) OVER (PARTITION BY o_orderpriority), 12) AS weight FROM orders",
