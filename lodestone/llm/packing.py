@@ -30,6 +30,8 @@ from lodestone.session import materialize, table
 
 #: Units into which a capacity is divided for the combinations.
 WINDOW = 128
+#: Parts of the solved repeats that are tried.
+PARTS = (1.0, 0.75, 0.5, 0.25, 0.0)
 #: Items of a size that one task numbers, about.
 NUMBERED = 200_000
 
@@ -144,7 +146,15 @@ def _combinations(units: int) -> list[tuple[int, ...]]:
 
 
 def plan(histogram: np.ndarray, capacity: int, window: int = WINDOW) -> Plan:
-    """Containers for ``histogram[s]`` items of size s, 0 <= s <= capacity."""
+    """Containers for ``histogram[s]`` items of size s, 0 <= s <= capacity.
+
+    The solved repeats are used in full, or in part, so that more is left for the greedy filling of
+    the space that sizes rounded up to units waste: whichever takes the fewest containers.
+    """
+    return min((_plan(histogram, capacity, window, part) for part in PARTS), key=lambda p: p.containers)
+
+
+def _plan(histogram: np.ndarray, capacity: int, window: int, share: float) -> Plan:
     left = histogram.astype(np.int64).copy()
     taken = np.zeros(capacity + 1, dtype=np.int64)
     out = Plan()
@@ -161,12 +171,12 @@ def plan(histogram: np.ndarray, capacity: int, window: int = WINDOW) -> Plan:
     counts = np.bincount(unit_of, weights=left, minlength=units + 1)[1:]
     if counts.sum():
         combos = [c for c in _combinations(units) if all(counts[q - 1] for q in c)]
-        if combos:
+        if combos and share:
             a = np.zeros((units, len(combos)))
             for j, c in enumerate(combos):
                 for q in c:
                     a[q - 1, j] += 1
-            x = np.floor(nnls(a, counts) + 1e-6).astype(np.int64)
+            x = np.floor(share * nnls(a, counts) + 1e-6).astype(np.int64)
             sizes = [[s for s in range(capacity, 0, -1) if unit_of[s] == q] for q in range(units + 1)]
             for j in np.argsort(-x, kind="stable"):
                 c = combos[j]
