@@ -168,21 +168,35 @@ class SuffixAutomaton:
 
     def covered(self, ws: list[str], least: int) -> tuple[list[bool], set[int]]:
         """Which of ``ws`` lie in runs of ``least`` or more that the sequence has; and the places there."""
-        inside, places = [False] * len(ws), set()
+        runs: list[tuple[int, int, int]] = []  # last place, length, last place in the sequence
         at = n = 0
         for i, w in enumerate(ws):
+            before = (i - 1, n, self.end[at])
             while at and w not in self.next[at]:
                 at = self.link[at]
                 n = self.length[at]
             if w in self.next[at]:
                 at = self.next[at][w]
                 n += 1
-            if n >= least:
-                for k in range(n):
-                    if inside[i - k] and k:
-                        break
-                    inside[i - k] = True
-                places.update(range(self.end[at] - n + 1, self.end[at] + 1))
+            if n <= before[1] and before[1] >= least:
+                runs.append(before)  # it could not go on
+        if n >= least:
+            runs.append((len(ws) - 1, n, self.end[at]))
+        here, there = [0] * (len(ws) + 1), [0] * (max(self.end) + 2)
+        for last, k, end in runs:
+            here[last - k + 1] += 1
+            here[last + 1] -= 1
+            there[end - k + 1] += 1
+            there[end + 1] -= 1
+        inside, depth = [], 0
+        for x in here[:-1]:
+            depth += x
+            inside.append(depth > 0)
+        places, depth = set(), 0
+        for i, x in enumerate(there):
+            depth += x
+            if depth > 0:
+                places.add(i)
         return inside, places
 
 

@@ -243,6 +243,7 @@ class Splitter:
         unit = start
         stack: list[tuple[str, bool]] = []  # what closes it, and whether it opened the unit
         skip = start
+        looked, said = start, False  # whether the unit so far has a letter or digit, as far as it was looked through
         for m in EVENT.finditer(text, start, end):
             at, stop = m.span()
             if at < skip:
@@ -273,7 +274,11 @@ class Splitter:
                     continue
                 far = min(end, at + FAR)
                 if any(text.find(w, at + 1, far) >= 0 for w in want):
-                    stack.append((want, not ALNUM.search(text, unit, at)))
+                    if looked < unit:
+                        looked, said = unit, False
+                    said = said or ALNUM.search(text, looked, at) is not None
+                    looked = at
+                    stack.append((want, not said))
                 continue
             if stack:
                 continue
