@@ -4,7 +4,7 @@ A record is the set of its runs of three consecutive words (its bits). Texts tha
 as word sequences are one class first. In each class's text, anchors are taken: the runs whose
 hashes are the ``PARTITIONS`` smallest, so that similar texts take mostly the same. The bits around
 an anchor, which an edit hits together, make a partition. A partition has a threshold: -1
-(not looked at), 0 (all of its nine words must agree), or 1 (one of its two halves may be hit:
+(not looked at), 0 (all of its eleven words must agree), or 1 (one of its two halves may be hit:
 by the pigeonhole principle the other half agrees). The thresholds t are allocated for each text by
 dynamic programming so that the sum of (t + 1) is ``BUDGET`` and the estimated number of
 candidates is least; the estimates come from a table of counters over all texts, whose
@@ -24,24 +24,35 @@ empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import word_text
 from lodestone.operators.pairs import BLOCK, pairs_within
 from lodestone.session import materialize, table
 
 SHARE = 0.6
-PARTITIONS = 12
+PARTITIONS = 20
 BUDGET = 14
 #: Words before an anchor's run and after it that belong to its partition.
-REACH = 3
+REACH = 4
+#: Values that a byte stands for in the table of counters.
+LEVELS = np.concatenate([np.arange(65.0), 64.0 * 1.1 ** np.arange(1, 192)])
+#: Logarithm of the largest number of counters (32 MB of bytes).
+COUNTERS = 25
+#: Logarithm of the largest bit table that is broadcast (8 MB).
+BITS = 26
+#: Sizes are in classes by this logarithm; texts whose classes are farther apart than this can't have the share.
+CLASS = math.log(1.1)
+APART = math.ceil(-math.log(SHARE) / CLASS) + 1
+GAPS = re.compile(r"[\W_]+")
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -109,16 +120,14 @@ def partitions(texts: list[str], m: int = PARTITIONS, reach: int = REACH) -> tup
 def allocate(owner: np.ndarray, cost0: np.ndarray, cost1: np.ndarray, count: int, m: int = PARTITIONS, budget: int = BUDGET) -> np.ndarray:
     """Thresholds of the partitions: for each owner the sum of (t + 1) is the budget at the least cost.
 
-    Exact dynamic programming over the partitions of all owners at once. An owner with fewer
-    partitions than half the budget takes all of them at 1.
+    Exact dynamic programming over the partitions of all owners at once. A threshold of infinite
+    cost isn't taken; where the budget can't be spent, as much of it as can be is.
     """
     first = np.searchsorted(owner, np.arange(count))
     k = np.arange(len(owner)) - first[owner]
     c = np.full((count, m, 3), np.inf)
     c[:, :, 0] = 0.0
     c[owner, k, 1], c[owner, k, 2] = cost0, cost1
-    have = np.bincount(owner, minlength=count)
-    goal = np.minimum(budget, 2 * have)
     best = np.full((count, budget + 1), np.inf)
     best[:, 0] = 0.0
     picks = np.zeros((m, count, budget + 1), dtype=np.int8)
@@ -132,7 +141,7 @@ def allocate(owner: np.ndarray, cost0: np.ndarray, cost1: np.ndarray, count: int
             picks[i][better] = t
         best = now
     out = np.full((count, m), -1, dtype=np.int8)
-    left = goal.copy()
+    left = budget - np.argmax(np.isfinite(best[:, ::-1]), axis=1)
     rows = np.arange(count)
     for i in range(m - 1, -1, -1):
         t = picks[i][rows, left]
@@ -141,48 +150,66 @@ def allocate(owner: np.ndarray, cost0: np.ndarray, cost1: np.ndarray, count: int
     return out[owner, k]
 
 
-def counters(texts: DataFrame, width: int) -> np.ndarray:
-    """How often each counter's signatures occur in all texts. Its size is ``width``, whatever the table's."""
+def _summed(parts: DataFrame, width: int, slots) -> np.ndarray:
+    """How often each of ``width`` slots occurs; ``slots`` gives those of a batch. Its size doesn't follow the table's."""
     chunk = min(width, 1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, dtype=np.int64)
+        total = np.zeros(width, dtype=np.int32)
         for b in batches:
-            _, sig, _ = partitions(b.column(0).to_pylist())
-            total += np.bincount((sig.reshape(-1) & np.uint64(width - 1)).astype(np.int64), minlength=width)
-        parts = [(i // chunk, zlib.compress(total[i : i + chunk].astype(np.int32).tobytes(), 1)) for i in range(0, width, chunk) if total[i : i + chunk].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["part", "data"])
+            at, n = np.unique(slots(b), return_counts=True)
+            total[at] += n.astype(np.int32)
+        found = [(i // chunk, zlib.compress(total[i : i + chunk].tobytes(), 1)) for i in range(0, width, chunk) if total[i : i + chunk].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int32()), pa.array([p[1] for p in found], pa.binary())], names=["part", "data"])
 
-    def add(key, batches):
+    def add(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(chunk, dtype=np.int64)
-        for b in batches:
-            for x in b["data"]:
-                total += np.frombuffer(zlib.decompress(x), dtype=np.int32)
-        import pandas as pd
-
-        yield pd.DataFrame({"part": [int(key[0])], "data": [zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
+        for x in df["data"]:
+            total += np.frombuffer(zlib.decompress(x), dtype=np.int32)
+        return pd.DataFrame({"part": [int(key[0])], "data": [zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
 
-    # The partial sums of tasks are added in two steps, by part and by part of a part.
-    partial = texts.select("text").mapInArrow(run, "part int, data binary")
-    summed = partial.groupBy("part").applyInPandas(_added(add), "part int, data binary")
     out = np.zeros(width, dtype=np.int32)
-    for r in summed.collect():  # at most width numbers
+    for r in parts.mapInArrow(run, "part int, data binary").groupBy("part").applyInPandas(add, "part int, data binary").collect():  # at most width numbers
         out[r["part"] * chunk : (r["part"] + 1) * chunk] = np.frombuffer(zlib.decompress(bytes(r["data"])), dtype=np.int32)
     return out
 
 
-def _added(add):
-    import pandas as pd
+def counters(texts: DataFrame, width: int) -> np.ndarray:
+    """How often the signatures of each counter occur in all texts."""
+
+    def slots(b: pa.RecordBatch) -> np.ndarray:
+        _, sig, _ = partitions(b.column(0).to_pylist())
+        return (sig.reshape(-1) & np.uint64(width - 1)).astype(np.int64)
+
+    return _summed(texts.select("text"), width, slots)
+
+
+def only_paired(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts that may be in a pair, by a bit table of at most ``BITS`` bits: others don't travel.
+
+    Where the table is too small for the pairs it lets more texts pass, and none is lost.
+    """
+    width = 1 << min(BITS, max(16, math.ceil(math.log2(16 * max(1, pairs.count())))))
+    found = _summed(pairs.select("ha", "hb"), width, lambda b: np.concatenate([c.to_numpy() & (width - 1) for c in b.columns]))
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(found > 0))
 
-    def once(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        return next(add(key, [df]))
+    @F.pandas_udf("boolean")
+    def paired(h: pd.Series) -> pd.Series:
+        at = h.to_numpy() & (width - 1)
+        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7))) & 1 > 0)
 
-    return once
+    return texts.filter(paired("h"))
 
 
 def signatures(texts: DataFrame, counts: np.ndarray, cold: int) -> DataFrame:
-    """``(sig, h, n, blocks)``: what each text is probed under; blocks is 0 for a signature of at most ``cold`` texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(counts)  # of bounded size
+    """``(sig, h)``: what each text is probed under; the lowest ten bits of sig are its side and the class of its size.
+
+    The texts of a signature with more than ``cold`` by its counter are in blocks, and for every two
+    blocks p <= q there is a signature of its own, under which the texts of p (side 1) meet
+    those of q (side 2). Otherwise, and within a block, all meet (side 0).
+    """
+    # A byte a counter, rounded up where it is large: still an upper bound.
+    shared = texts.sparkSession.sparkContext.broadcast(np.searchsorted(LEVELS, counts).astype(np.uint8))  # of bounded size
     mask = np.uint64(len(counts) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +217,15 @@ def signatures(texts: DataFrame, counts: np.ndarray, cold: int) -> DataFrame:
         for b in batches:
             h = b.column(0).to_numpy(zero_copy_only=False)
             owner, sig, sizes = partitions(b.column(1).to_pylist())
-            seen = table_[(sig & mask).astype(np.int64)].astype(np.float64)
-            # Pairs that a signature with c texts would add, per text.
-            t = allocate(owner, seen[:, 0], seen[:, 0] + seen[:, 1] + seen[:, 2], len(h))
-            keep = np.stack([t >= 0, t >= 1, t >= 1], axis=1)
+            seen = LEVELS[table_[(sig & mask).astype(np.int64)]]
+            # The texts that a signature would bring. One that no other text can have, as its counter says, brings none:
+            # it isn't worth a part of the budget, and isn't sent.
+            shared_by = seen > 1
+            none = np.full(len(sig), np.inf)
+            cost0 = np.where(shared_by[:, 0], seen[:, 0], none)
+            cost1 = np.where(shared_by[:, 1:].any(axis=1), seen.sum(axis=1), none)
+            t = allocate(owner, cost0, cost1, len(h))
+            keep = np.stack([t >= 0, t >= 1, t >= 1], axis=1) & shared_by
             who = np.repeat(owner, 3).reshape(-1, 3)[keep]
             s, est = sig[keep], seen[keep]
             order = np.lexsort((s, who))
@@ -201,27 +233,73 @@ def signatures(texts: DataFrame, counts: np.ndarray, cold: int) -> DataFrame:
             new = np.ones(len(who), dtype=bool)
             new[1:] = (who[1:] != who[:-1]) | (s[1:] != s[:-1])
             who, s, est = who[new], s[new], est[new]
-            blocks = np.where(est <= cold, 0, np.ceil(est / BLOCK)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.view(np.int64)), pa.array(h[who]), pa.array(sizes[who].astype(np.int32)), pa.array(blocks)], names=["sig", "h", "n", "blocks"]
-            )
-
-    return texts.select("h", "text").mapInArrow(run, "sig long, h long, n int, blocks int")
+            size = np.minimum(np.log(np.maximum(sizes[who], 1)) / CLASS, 255).astype(np.uint64)
+            x, side = h[who], np.zeros(len(who), np.uint64)
+            hot = est > cold
+            if hot.any():
+                more = [_blocks(a, b, int(math.ceil(c / BLOCK))) for a, b, c in zip(s[hot], x[hot], est[hot])]
+                times = [len(m) for m in more]
+                flat = np.array([y for m in more for y in m], dtype=np.uint64).reshape(-1, 2)
+                s = np.concatenate([s[~hot], flat[:, 0]])
+                side = np.concatenate([side[~hot], flat[:, 1]])
+                x, size = (np.concatenate([y[~hot], np.repeat(y[hot], times)]) for y in (x, size))
+            key = (s & ~np.uint64(1023)) | (side << np.uint64(8)) | size
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x)], names=["sig", "h"])
+
+    return texts.select("h", "text").mapInArrow(run, "sig long, h long")
+
+
+def _blocks(sig: np.uint64, h: np.int64, n: int) -> list[tuple[int, int]]:
+    """The signatures of a text's block with each block, and its side there."""
+    own = int(h) % n
+    out = []
+    for other in range(n):
+        p, q = min(own, other), max(own, other)
+        out.append((xxhash.xxh3_64_intdigest(f"{sig}:{p}:{q}"), 0 if p == q else 1 if own == p else 2))
+    return out
 
 
-def candidates(sigs: DataFrame, share: float = SHARE) -> DataFrame:
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows with the same signature, which follow each other; a group may go on in the next batch."""
+    sig = h = meta = np.zeros(0, np.int64)
+    for b in _and_end(batches):
+        if b is not None:
+            key = b.column(0).to_numpy()
+            sig = np.concatenate([sig, key >> 10])
+            meta = np.concatenate([meta, key & 1023])
+            h = np.concatenate([h, b.column(1).to_numpy()])
+            upto = int(np.searchsorted(sig, sig[-1])) if len(sig) else 0
+        else:
+            upto = len(sig)
+        s, x, m = sig[:upto], h[:upto], meta[:upto]
+        sig, h, meta = sig[upto:], h[upto:], meta[upto:]
+        n, side = m & 255, m >> 8
+        at = np.arange(len(s))
+        step = 1
+        while True:
+            at = at[at + step < len(s)]
+            at = at[s[at] == s[at + step]]
+            if not len(at):
+                break
+            to = at + step
+            ok = (np.abs(n[at] - n[to]) <= APART) & (x[at] != x[to]) & ((side[at] != side[to]) | (side[at] == 0))
+            if ok.any():
+                p, q = x[at[ok]], x[to[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["ha", "hb"])
+            step += 1
+
+
+def _and_end(batches):
+    for b in batches:
+        if b.num_rows:
+            yield b
+    yield None
+
+
+def candidates(sigs: DataFrame) -> DataFrame:
     """Distinct pairs ``(ha, hb)``, ha < hb, of texts with a common signature and sizes that allow the share."""
-    fit = lambda a, b: F.least(a, b) >= F.lit(share) * F.greatest(a, b)
-    # The counter bounds the group: it can be gathered.
-    cold = sigs.filter("blocks = 0").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("h", "n"))).alias("g")).filter("size(g) > 1")
-    cold = cold.select(F.posexplode("g").alias("i", "a"), "g").select("a", F.explode(F.expr("slice(g, i + 2, size(g))")).alias("b"))
-    cold = cold.filter(fit(F.col("a.n"), F.col("b.n"))).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"))
-    hot = sigs.filter("blocks > 0").withColumn("_b", F.expr("cast(pmod(xxhash64(h), blocks) as int)"))
-    left = hot.select("sig", F.col("h").alias("x"), F.col("n").alias("xn"), F.col("_b").alias("p"), F.expr("explode(sequence(_b, blocks - 1))").alias("q"))
-    right = hot.select("sig", F.col("h").alias("y"), F.col("n").alias("yn"), F.expr("explode(sequence(0, _b))").alias("p"), F.col("_b").alias("q"))
-    hot = left.join(right, ["sig", "p", "q"]).filter("p < q or x < y").filter(fit(F.col("xn"), F.col("yn")))
-    hot = hot.select(F.least("x", "y").alias("ha"), F.greatest("x", "y").alias("hb"))
-    return cold.unionByName(hot).filter("ha <> hb").distinct()
+    met = sigs.repartition(F.shiftright("sig", 10)).sortWithinPartitions("sig")
+    return met.mapInArrow(_pairs, "ha long, hb long").distinct()
 
 
 def share_of(a: str, b: str) -> float:
@@ -235,50 +313,70 @@ def verified(pairs: DataFrame, texts: DataFrame, share: float = SHARE) -> DataFr
     """The pairs ``(ka, kb)`` whose share is large enough, by their whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, p = None, set()
+        last = y = None
+        sy: set[str] = set()
+        q: set[tuple[str, str, str]] = set()
         for b in batches:
             ka, kb, ta, tb = (b.column(i) for i in range(4))
             ok = []
-            for i, (a, c) in enumerate(zip(ta.to_pylist(), tb.to_pylist())):
-                if a != last:
-                    x = a.split(" ")
-                    last, p = a, set(zip(x, x[1:], x[2:]))
-                y = c.split(" ")
-                q = set(zip(y, y[1:], y[2:]))
+            for i, (one, two) in enumerate(zip(ta.to_pylist(), tb.to_pylist())):
+                if two != last:  # rows come in the order of the second text
+                    last, y = two, two.split(" ")
+                    sy, q = set(y), set()
+                x = one.split(" ")
+                sx = set(x)
+                # Each word that only one text has, but for the last two, starts a run that the other lacks.
+                m, n = max(0, len(sx - sy) - 2), max(0, len(sy - sx) - 2)
+                most = min(len(x) - 2 - m, len(y) - 2 - n)
+                if most < share * (most + m + n) - 1e-9:
+                    continue
+                p = set(zip(x, x[1:], x[2:]))
+                q = q or set(zip(y, y[1:], y[2:]))
                 both = len(p & q)
                 if both and both >= share * (len(p) + len(q) - both) - 1e-9:
                     ok.append(i)
             at = pa.array(ok, pa.int32())
             yield pa.RecordBatch.from_arrays([ka.take(at), kb.take(at)], names=["ka", "kb"])
 
-    t = texts.select("h", "key", "text")
+    # One exchange of the texts serves both sides of a pair; equal texts are dropped behind it.
+    t = texts.select("h", "key", "text").repartition("h").dropDuplicates(["h", "key"])
     j = pairs.join(t.select(F.col("h").alias("ha"), F.col("key").alias("ka"), F.col("text").alias("ta")), "ha")
     j = j.join(t.select(F.col("h").alias("hb"), F.col("key").alias("kb"), F.col("text").alias("tb")), "hb")
     return j.select("ka", "kb", "ta", "tb").mapInArrow(run, "ka binary, kb binary")
 
 
-def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(key, id)`` and ``(key, h, text)`` of ``records(id, text)``: one class for equal word texts."""
-    keyed = records.filter("id is not null and text <> ''").withColumn("key", F.unhex(F.md5("text")))
-    members = materialize(keyed.select("key", "id").distinct(), "members")
-    texts = keyed.groupBy("key").agg(F.first("text").alias("text")).withColumn("h", F.xxhash64("key"))
-    return members, materialize(texts.select("key", "h", "text"), "texts")
+def classes(records: DataFrame) -> DataFrame:
+    """``(id, key, h, text)`` of ``records(id, title, content)`` that have a word: text in words, and its 128 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [GAPS.sub(" ", f"{t} {c or ''}".lower() if t else (c or "").lower()).strip() for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            at = [i for i, t in enumerate(texts) if t]
+            keys = [xxhash.xxh3_128_digest(texts[i]) for i in at]
+            h = np.frombuffer(b"".join(keys), dtype=np.int64)[::2] if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(keys, pa.binary()), pa.array(h), pa.array([texts[i] for i in at], pa.string())], names=["id", "key", "h", "text"])
+
+    return materialize(records.filter("id is not null").select("id", "title", "content").mapInArrow(run, "id string, key binary, h long, text string"), "texts")
 
 
 def similar_classes(texts: DataFrame, share: float = SHARE) -> DataFrame:
     """Pairs ``(ka, kb)`` of classes with different texts whose share is large enough."""
     n = texts.count()
-    # About as many counters as texts: what other signatures add to a counter doesn't grow with the table, up to 64 MB of counters.
-    width = 1 << min(24, max(16, math.ceil(math.log2(max(1, 4 * n)))))
+    # Counters in proportion to the texts, so that unrelated signatures add about as much to one at any size: that orders
+    # the rare signatures in the same way for all texts. From the bound on they add more, as the table grows,
+    # but so grow the counts of the frequent signatures that are to be told apart.
+    width = 1 << min(COUNTERS, max(10, math.ceil(math.log2(max(1, 16 * n)))))
     counts = counters(texts, width)
     cold = max(BLOCK, int(4 * counts.mean()))
     sigs = signatures(texts, counts, cold)
-    return verified(candidates(sigs, share), texts, share)
+    pairs = materialize(candidates(sigs), "pairs")
+    return verified(pairs, only_paired(texts.select("h", "key", "text"), pairs), share)
 
 
 def near_pairs(records: DataFrame, share: float = SHARE) -> DataFrame:
-    """Pairs ``(id_a, id_b)`` of ``records(id, text)``, id_a < id_b, with a share of at least ``share`` or equal words."""
-    members, texts = classes(records)
+    """Pairs ``(id_a, id_b)`` of ``records(id, title, content)``, id_a < id_b, with a share of at least ``share`` (no less than SHARE) or equal words."""
+    texts = classes(records)
+    members = texts.select("key", "id").distinct()
     links = similar_classes(texts, share)
     a = members.select(F.col("key").alias("ka"), F.col("id").alias("x"))
     b = members.select(F.col("key").alias("kb"), F.col("id").alias("y"))
@@ -314,7 +412,7 @@ def components(nodes: DataFrame, links: DataFrame, most: int = 60) -> DataFrame:
 
 def section_records(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "sections").filter(~F.coalesce("deleted", F.lit(False)))
-    return s.select("id", word_text(F.concat_ws(" ", "title", "content")).alias("text"))
+    return s.select("id", "title", "content")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -323,9 +421,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row for each section id: its group (the smallest text key of its component) and the number of texts linked to its own."""
-    members, texts = classes(section_records(spark, d))
+    texts = classes(section_records(spark, d))
+    members = texts.select("key", "id").distinct()
     links = materialize(similar_classes(texts), "links")
-    label = components(texts.select(F.col("key").alias("node")), links.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    label = components(members.select(F.col("key").alias("node")).distinct(), links.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
     degree = links.select(F.col("ka").alias("node")).unionByName(links.select(F.col("kb").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = label.join(degree, "node", "left").select(F.col("node").alias("key"), F.lower(F.hex("label")).alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return members.join(named, "key").select("id", "group_id", "n_links")
