@@ -230,3 +230,10 @@ def search_codes(queries: DataFrame, codes: DataFrame, books: list[np.ndarray],
         found = codes.mapInArrow(run, "qid long, row_idx long, score double")
         out = found if out is None else out.unionByName(found)
     return top(out, top_k)
+
+
+def reranked(queries: DataFrame, vectors: DataFrame, hits: DataFrame, top_k: int, metric: str = "inner_product") -> DataFrame:
+    """The best ``top_k`` of approximate hits by their exact scores."""
+    d = lambda c: F.transform(c, lambda x: x.cast("double"))
+    both = hits.select("qid", "row_idx").join(vectors.select("row_idx", F.col("vector").alias("v")), "row_idx").join(queries.select("qid", F.col("vector").alias("q")), "qid")
+    return top(both.select("qid", "row_idx", score_column(metric, d(F.col("q")), d(F.col("v"))).alias("score")), top_k)

@@ -186,7 +186,8 @@ def int8_topk(spark, d):
 def product_quantised_topk(spark, d):
     v = vectors(spark, d).select("row_idx", "vector")
     codes, books = dense.product_codes(v, 16, 4)
-    return dense.search_codes(vector_queries(spark, d), codes, books, 10).select("qid", "row_idx", r6("score"))
+    q = vector_queries(spark, d)
+    return dense.reranked(q, v, dense.search_codes(q, codes, books, 100), 10).select("qid", "row_idx", r6("score"))
 
 
 def priority_sample(spark, d):

@@ -257,3 +257,13 @@ def test_plans(spark):
 
     plan = retrieval.bm25_topk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan and "WindowGroupLimit" in plan
+
+
+def test_recall_of_approximate_searches(spark):
+    from lodestone.plans import retrieval
+
+    d = "/root/testdata/sf0.01"
+    exact = {(r.qid, r.row_idx) for r in retrieval.QUERIES["dense_topk_ip"](spark, d).collect()}
+    for name in ("kmeans_cells_topk", "product_quantised_topk", "int8_topk"):
+        got = {(r.qid, r.row_idx) for r in retrieval.QUERIES[name](spark, d).collect()}
+        assert len(got & exact) >= 0.9 * len(exact), name
