@@ -9,7 +9,8 @@ Each pair gets at most one defect, tested in this order:
   two or more words that it finds must cover nearly all of the response, and of the prompt
   its beginning too, so that a sentence which the prompt asks to repeat isn't a copy.
 * ``language``: votes of frequent function words, and scripts, for prompt and response;
-  prompts that ask for a translation are left out.
+  prompts that ask for a translation are left out. The request is looked for in each sentence of
+  the whole prompt outside its quotations: a verb that asks, not the word translation alone.
 * ``truncated``: the last sentence of a response in sentences is read with a stack of
   delimiters, and a logistic model of sentence ends decides whether it is complete. The model is
   trained here on sentences of the responses that another sentence follows, and on the same
@@ -80,7 +81,41 @@ STOPWORDS = {
     "es": "el la los las de del y un una es era en que con por para se su sus al lo no como más pero fue ha qué quién cuándo cómo dónde sin sobre antes después según tras muy o entre le cuando desde aunque esta este".split(),
 }
 VOTES = {w: [k for k, v in STOPWORDS.items() if w in v] for v0 in STOPWORDS.values() for w in v0}
-TRANSLATE = re.compile(r"\b(translat\w*|übersetz\w*|tradui\w*|traduz\w*|traduc\w*|переве\w*)|翻译|翻訳|แปล|अनुवाद|ترجم", re.I)
+TRANSLATE = re.compile(r"\b(translat\w*|übersetz\w*|tradui\w*|traduz\w*|traduc\w*|tradur\w*|tradú\w*|перев[ео]\w*|say|sagt|dit|dice)\b|[译譯訳]|แปล|अनुवाद|ترجم", re.I)
+_LANGUAGE = (
+    r"(?:(?:the |el |le |l['’]|o |das |lo )?(?:english|french|german|spanish|russian|chinese|mandarin|japanese|arabic|hindi|thai|italian|portuguese|korean|dutch|polish|turkish|latin|greek|hebrew|ukrainian|swedish|danish|czech|"
+    r"englisch|französisch|deutsch|spanisch|russisch|chinesisch|japanisch|arabisch|thailändisch|italienisch|portugiesisch|koreanisch|niederländisch|polnisch|türkisch|latein|griechisch|"
+    r"anglais|français|allemand|espagnol|russe|chinois|japonais|arabe|thaï|italien|portugais|coréen|néerlandais|polonais|turc|grec|"
+    r"inglés|francés|alemán|español|castellano|ruso|chino|japonés|árabe|tailandés|italiano|portugués|coreano|neerlandés|polaco|turco|latín|griego)(?:e|en|es)?\b"
+    r"|(?:my|your|another|any other|meine|ihre|eine andere|une autre|otro|otra|su|mi|votre|ma)\s+(?:own\s+)?(?:language|sprache|langue|lengua|idioma)\b)"
+)
+_TARGET = rf"\b(?:into|to|in|ins|nach|en|vers|al|a|à|au)\s+{_LANGUAGE}|\bl['’]{_LANGUAGE}|\bна\s+(?:\w+ск(?:ий|ом)\b|хинди\b|иврит\b|латынь\b)"
+_LEAD = r"^[\W\d_]*(?:(?:please|kindly|now|then|first|next|finally|also|and|just|task|bitte|nun|jetzt|dann|und|s['’]il (?:vous|te) pla[iî]t|veuillez|merci de|maintenant|puis|et|por favor|ahora|luego|y|пожалуйста|теперь|затем|и)\b\W*)*"
+_VERB = r"(?:translate|übersetzen|übersetze|übersetz|traduis|traduisez|traduire|traduce|traduzca|traduzcan|traducid|traducir|tradúce\w*|tradúzca\w*|traduza|traduzir|traduci|traducete|tradurre)\b"
+_NOUN = r"(?:translation|übersetzung|traduction|traducción|tradução|traduzione)\b"
+# Sentences that ask for a translation, in small letters. The first need no language.
+ASKS = re.compile(
+    rf"{_LEAD}{_VERB}|{_LEAD}переведи(?:те)?\b(?=.*(?:\bна\b|текст|предложени|фраз|отрыв|абзац|слов|это))"
+    rf"|\b(?:please|kindly|(?:can|could|would|will) (?:you|someone|anyone)(?: please| kindly)?|help me(?: to)?|help us(?: to)?)\W+translate\b"
+    rf"|\b(?:bitte|kannst du|können sie|könnten sie|könntest du|würden sie)\b.*\bübersetz(?:en|e)\b|\b(?:veuillez|merci de|(?:peux|pouvez|pourriez|pourrais)[- ](?:tu|vous))\W+(?:me\W+)?traduire\b"
+    rf"|\b(?:por favor|puedes|puede|podrías|podría)\W+(?:usted\W+)?traduc(?:ir\w*|e)\b"
+    r"|请[^。！？]*(?:翻译|译)(?!记忆)|翻[译譯](?=成|为|為|到|一下|下面|以下|下列|这|這|上[文面述])|[译譯](?:成|为|為)|把[^。！？]*翻[译譯](?!记忆)|翻訳(?=して|し、|せよ|しなさい|をお願い|をして|を頼)|訳(?=して|せ|しなさい)"
+    r"|(?:ช่วย|โปรด|กรุณา|จง)แปล|แปล.*เป็น|अनुवाद\s*(?:करें|कीजिए|कीजिये|करो|कर\b|करना|दें|दीजिए|चाहिए)|^\W*ترجم(?:ي|وا)?\b|\bترجم(?:ي|وا)?\b.*\bإلى\b|(?:يرجى|الرجاء|من فضلك)\W+ترجمة|\bترجمة\b.*\bإلى\s+(?:اللغة\b|ال\w+ية\b)"
+)
+# The rest need a target language: a verb amid a sentence, and requests for the noun.
+_AMID = re.compile(
+    r"(?:\b(?:and|then|now|you|also|just|first|or|me|us|must|should)|[,;)–—-])\s*translate\b|\b(?:you|your|me|us|i|please|task|asked|goal)\b.*\bto translate\b"
+    r"|\b(?:übersetze|übersetzen|übersetz|traduis|traduisez|traduire|traduzca|traducid|traducir|traduza|traduzir|tradurre)\b|\b(?:переведи(?:те)?|перевести)\b"
+)
+_SAY = re.compile(r"^\W*(?:how (?:do|would|can|does) (?:you|one|i|we) say|wie sagt man|comment dit[- ]on|cómo se dice)\b")
+_TARGETED = re.compile(_TARGET)
+_WANTED = re.compile(
+    rf"{_LEAD}(?:give|provide|write|make|produce|prepare|offer|add|show|send|i need|i want|i would like|i['’]d like|what is|what['’]s|(?:can|could|would|will) you|gib|geben sie|schreibe|schreiben sie|erstelle|erstellen sie|wie lautet|was ist|ich brauche|"
+    rf"donne|donnez|écris|écrivez|fais|faites|propose|proposez|quelle est|il me faut|da|dé|dame|deme|déme|escribe|escriba|haz|haga|cuál es|necesito|quiero)\b.*"
+    rf"(?:{_NOUN}(?!\s+memor).*(?:{_TARGET})|{_LANGUAGE}\s+{_NOUN}(?!\s+memor)|{_NOUN}\s+(?:(?!memor)\w+\s+)?{_LANGUAGE})|{_LEAD}(?:сделай(?:те)?|дай(?:те)?|напиши(?:те)?)\b.*\bперевод\b"
+)
+QUOTED = re.compile(r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|‘[^‘’]*’(?!\w)|(?<!\w)\"[^\"]*\"(?!\w)|「[^「」]*」|『[^『』]*』")
+CLAUSES = re.compile(r"[.!?…:\n。！？：؟।]+")
 SCRIPT = re.compile(r"(?P<cyr>[Ѐ-ӿ])|(?P<ara>[؀-ۿ])|(?P<dev>[ऀ-ॿ])|(?P<tha>[฀-๿])|(?P<kan>[぀-ヿ])|(?P<han>[一-鿿])|(?P<lat>[A-Za-zÀ-ɏ])")
 FOREIGN = re.compile(r"[Ѐ-ӿ؀-ۿऀ-ॿ฀-๿぀-ヿ一-鿿]")
 LIST_LINE = re.compile(r"^\s*(?:[-*•‣◦–—]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s")
@@ -254,6 +289,19 @@ def language(text: str, ws: list[str]) -> str | None:
     return top[0][0]
 
 
+def asks_translation(prompt: str) -> bool:
+    """Whether a sentence of the prompt, outside what it quotes, asks for a translation."""
+    if not TRANSLATE.search(prompt):
+        return False
+    outside = QUOTED.sub(" ", prompt)
+    if not WORD.search(outside):
+        outside = prompt  # wholly quoted
+    for s in CLAUSES.split(outside.lower()):
+        if ASKS.search(s) or _WANTED.search(s) or ((_AMID.search(s) or _SAY.search(s)) and _TARGETED.search(s)):
+            return True
+    return False
+
+
 # --- sentence ends ---------------------------------------------------------------------------
 
 
@@ -403,9 +451,9 @@ def defect(prompt: str | None, response: str | None, model: EndModel, task: str
         return "refusal"
     if is_copy(pw, rw):
         return "copy"
-    if not (task == "translate" or TRANSLATE.search((prompt or "")[:80])):
+    if task != "translate":
         a, b = language(prompt or "", pw), language(response, rw)
-        if a and b and a != b:
+        if a and b and a != b and not asks_translation(prompt or ""):
             return "language"
     if is_truncated(response, rw, model):
         return "truncated"

@@ -185,6 +185,27 @@ def test_defects(ends, prompt, response, task, want):
     assert defects.defect(prompt, response, ends, task) == want
 
 
+@pytest.mark.parametrize(
+    "prompt, asks",
+    [
+        ("According to the passage on the translation memory, what did Kanati sell?", False), ("¿Quién cuidaba la memoria de traducción?", False), ("Poursuivez le rapport sur la mémoire de traduction : ", False), ("解释翻译记忆的作用。", False),
+        ("What did the critics think of the French translation?", False), ("Explain this line: “Translate it into French.”", False), ("The clerk translated the letter into German. Explain why.", False), ("How does a lower price translate into sales?", False), ("अनुवाद स्मृति क्या है?", False),
+        ("The harbour desk was closed for the winter, and the crew that was there in spring had not been told about it. Please translate the passage above into Spanish.", True),
+        ("Translate into Spanish: the desk closes.", True), ("Read the note and translate it into French.", True), ("Your task is to translate this into Thai.", True), ("Give a German translation of this line.", True), ("How do you say “the desk” in Italian?", True), ("Translate “the desk” for me.", True),
+        ("Bitte übersetzen Sie den Satz ins Englische.", True), ("Den folgenden Satz ins Englische übersetzen", True), ("Traduisez cette phrase en anglais.", True), ("Pouvez-vous traduire ceci ?", True), ("Traduce al inglés esta frase.", True), ("Por favor, ¿puedes traducirlo al inglés?", True), ("Переведите на английский язык: дом", True), ("请把这句话翻译成英文。", True), ("次の文を英語に翻訳してください。", True), ("ترجم إلى الإنجليزية: البيت", True), ("इसका अंग्रेज़ी में अनुवाद कीजिए", True), ("แปลเป็นภาษาอังกฤษ", True),
+    ],
+)
+def test_requests_for_a_translation(prompt, asks):
+    assert defects.asks_translation(prompt) == asks
+
+
+def test_translation_as_a_topic_is_no_request(ends):
+    answer = "El puerto pesquero estuvo cerrado durante el invierno según el último informe."
+    passage = "The harbour desk was closed for the winter, and the crew that was there in spring had not been told about it."
+    assert defects.defect("Explain the report on the translation memory that the crew wrote.", answer, ends) == "language"
+    assert defects.defect(passage + " Please translate the passage above into Spanish.", answer, ends) is None
+
+
 def test_sentence_ends_on_held_out_sentences(spark, ends):
     rows = defects.pairs(spark, "/root/testdata/sf0.1").filter("length(response) > 60").select("response").distinct().orderBy(F.md5("response")).limit(1500).collect()
     rng = random.Random(1)
