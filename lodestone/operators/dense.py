@@ -210,28 +210,33 @@ def product_codes(vectors: DataFrame, m: int, bits: int = 4, sample: int = 50_00
 def search_codes(queries: DataFrame, codes: DataFrame, books: list[np.ndarray], top_k: int) -> DataFrame:
     """Inner product of queries with coded vectors, by one table of partial products a query."""
     width = books[0].shape[1]
+    step = max(1, QUERY_BYTES // (8 * sum(map(len, books))))  # queries whose tables fit in a broadcast
     out = None
     for ids, q, _ in _blocks(queries.filter("vector is not null").select("qid", "vector"), None):
-        lut = np.stack([q[:, j * width : (j + 1) * width] @ c.T for j, c in enumerate(books)], axis=1)
-        shared = codes.sparkSession.sparkContext.broadcast((ids, lut))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qid, table = shared.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                code = np.array(b.column(1).to_pylist(), dtype=np.int64)
-                idx = b.column(0).to_numpy()
-                s = sum(table[:, j, :][:, code[:, j]] for j in range(code.shape[1]))
-                order = np.lexsort((np.broadcast_to(idx, s.shape), -np.round(s, 9)), axis=1)[:, :top_k]
-                flat = np.take_along_axis(s, order, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, order.shape[1])), pa.array(idx[order].reshape(-1)), pa.array(flat.reshape(-1))], names=["qid", "row_idx", "score"])
-
-        found = codes.mapInArrow(run, "qid long, row_idx long, score double")
-        out = found if out is None else out.unionByName(found)
+        for i in range(0, len(ids), step):
+            found = _search_codes_block(codes, ids[i : i + step], [q[i : i + step, j * width : (j + 1) * width] @ c.T for j, c in enumerate(books)], top_k)
+            out = found if out is None else out.unionByName(found)
     return top(out, top_k)
 
 
+def _search_codes_block(codes: DataFrame, ids: np.ndarray, tables: list[np.ndarray], top_k: int) -> DataFrame:
+    shared = codes.sparkSession.sparkContext.broadcast((ids, tables))  # at most QUERY_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, parts = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code = np.array(b.column(1).to_pylist(), dtype=np.int64)
+            idx = b.column(0).to_numpy()
+            s = sum(t[:, code[:, j]] for j, t in enumerate(parts))
+            order = np.lexsort((np.broadcast_to(idx, s.shape), -np.round(s, 9)), axis=1)[:, :top_k]
+            flat = np.take_along_axis(s, order, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, order.shape[1])), pa.array(idx[order].reshape(-1)), pa.array(flat.reshape(-1))], names=["qid", "row_idx", "score"])
+
+    return codes.mapInArrow(run, "qid long, row_idx long, score double")
+
+
 def reranked(queries: DataFrame, vectors: DataFrame, hits: DataFrame, top_k: int, metric: str = "inner_product") -> DataFrame:
     """The best ``top_k`` of approximate hits by their exact scores."""
     d = lambda c: F.transform(c, lambda x: x.cast("double"))

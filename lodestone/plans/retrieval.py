@@ -190,9 +190,11 @@ def int8_topk(spark, d):
 
 def product_quantised_topk(spark, d):
     v = vectors(spark, d).select("row_idx", "vector")
-    codes, books = dense.product_codes(v, 16, 4)
+    codes, books = dense.product_codes(v, 16, 8)
     q = vector_queries(spark, d)
-    return dense.reranked(q, v, dense.search_codes(q, codes, books, 100), 10).select("qid", "row_idx", r6("score"))
+    # The rank that codes give a near vector grows with the table, and so does the shortlist.
+    shortlist = max(100, -(-v.count() // 100))
+    return dense.reranked(q, v, dense.search_codes(q, codes, books, shortlist), 10).select("qid", "row_idx", r6("score"))
 
 
 def priority_sample(spark, d):

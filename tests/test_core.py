@@ -267,3 +267,17 @@ def test_recall_of_approximate_searches(spark):
     for name in ("kmeans_cells_topk", "product_quantised_topk", "int8_topk"):
         got = {(r.qid, r.row_idx) for r in retrieval.QUERIES[name](spark, d).collect()}
         assert len(got & exact) >= 0.9 * len(exact), name
+
+
+def test_recall_of_quantised_search_on_a_larger_table(spark, tmp_path):
+    import random
+
+    from lodestone.plans import retrieval
+
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(64)], i % 10) for i in range(12_000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    for d in (f"file://{tmp_path}", "/root/testdata/sf0.1"):
+        exact = {(r.qid, r.row_idx) for r in retrieval.QUERIES["dense_topk_ip"](spark, d).collect()}
+        got = {(r.qid, r.row_idx) for r in retrieval.QUERIES["product_quantised_topk"](spark, d).collect()}
+        assert len(got & exact) >= 0.9 * len(exact)
