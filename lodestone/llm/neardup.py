@@ -49,7 +49,7 @@ LEVELS = np.concatenate([np.arange(65.0), 64.0 * 1.1 ** np.arange(1, 192)])
 COUNTERS = 25
 #: Logarithm of the largest bit table that is broadcast (8 MB).
 BITS = 26
-#: Sizes are in classes by this logarithm; texts whose classes are farther apart than this can't have the share.
+#: Sizes, in distinct runs, are in classes by this logarithm; texts whose classes are farther apart than this can't have the share.
 CLASS = math.log(1.1)
 APART = math.ceil(-math.log(SHARE) / CLASS) + 1
 GAPS = re.compile(r"[\W_]+")
@@ -76,8 +76,20 @@ class WordCodes(dict):
 _CODES = WordCodes()
 
 
-def partitions(texts: list[str], m: int = PARTITIONS, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts of words with one space between: owner, signatures (whole, left, right) of each partition; and sizes."""
+def distinct_runs(owner: np.ndarray, h: np.ndarray, count: int) -> np.ndarray:
+    """Number of distinct runs of each of ``count`` texts, by as many bits of their hashes as are left beside the owner."""
+    low = np.uint64(64 - max(1, count.bit_length()))
+    k = np.sort((owner.astype(np.uint64) << low) | (h >> (np.uint64(64) - low)))
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = k[1:] != k[:-1]
+    return np.bincount((k[new] >> low).astype(np.int64), minlength=count)
+
+
+def partitions(texts: list[str], m: int = PARTITIONS, reach: int = REACH, sized: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of words with one space between: owner, signatures (whole, left, right) of each partition; and sizes.
+
+    Sizes are numbers of runs with their repeats, or where ``sized`` of distinct runs, which the share is of.
+    """
     if not texts:
         return np.zeros(0, np.int64), np.zeros((0, 3), np.uint64), np.zeros(0, np.int64)
     flat = " ".join(texts).split(" ")
@@ -104,12 +116,22 @@ def partitions(texts: list[str], m: int = PARTITIONS, reach: int = REACH) -> tup
     low |= limit >= 1.0
     enough = np.bincount(owner[low], minlength=len(texts)) >= np.minimum(2 * m, sizes)
     low |= ~enough[owner]
-    at, owner, h = at[low], owner[low], h[low]
-    order = np.lexsort((h, owner))
-    at, owner, h = at[order], owner[order], h[order]
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
-    at, owner = at[new], owner[new]
+    runs = sizes
+    if sized:
+        sizes = distinct_runs(owner, h, len(texts))
+
+    def smallest(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, o, x = at[low], owner[low], h[low]
+        order = np.lexsort((x, o))
+        a, o, x = a[order], o[order], x[order]
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (o[1:] != o[:-1]) | (x[1:] != x[:-1])
+        return a[new], o[new]
+
+    first_at, first_owner = smallest(low)
+    # Where repeats leave fewer than m distinct ones, all of that text's runs are ordered.
+    few = (np.bincount(first_owner, minlength=len(texts)) < m) & (np.bincount(owner[low], minlength=len(texts)) < runs)
+    at, owner = smallest(low | few[owner]) if few.any() else (first_at, first_owner)
     first = np.searchsorted(owner, np.arange(len(texts)))
     keep = np.arange(len(at)) - first[owner] < m
     at, owner = at[keep], owner[keep]
@@ -216,7 +238,7 @@ def signatures(texts: DataFrame, counts: np.ndarray, cold: int) -> DataFrame:
         table_ = shared.value
         for b in batches:
             h = b.column(0).to_numpy(zero_copy_only=False)
-            owner, sig, sizes = partitions(b.column(1).to_pylist())
+            owner, sig, sizes = partitions(b.column(1).to_pylist(), sized=True)
             seen = LEVELS[table_[(sig & mask).astype(np.int64)]]
             # The texts that a signature would bring. One that no other text can have, as its counter says, brings none:
             # it isn't worth a part of the budget, and isn't sent.

@@ -111,6 +111,28 @@ def test_near_pairs_against_brute_force(spark, monkeypatch):
     assert neardup.near_pairs(df.limit(0)).count() == 0
 
 
+def test_near_pairs_of_texts_that_repeat_themselves(spark):
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(3000)]
+    recs = {}
+    for k in range(24):
+        base = [rng.choice(pool) for _ in range(rng.choice([60, 100, 150]))]
+        for c, times in enumerate((1, rng.choice([2, 3]), 12)):
+            recs[f"r{k}-{c}"] = " ".join(base * times)
+    df = spark.createDataFrame([(i, None, t) for i, t in recs.items()], "id string, title string, content string").repartition(4)
+    want = near_brute(recs)
+    got = {(r.id_a, r.id_b) for r in neardup.near_pairs(df).collect()}
+    assert len(want) == 72 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_sizes_are_of_distinct_runs():
+    base = " ".join(f"w{i}" for i in range(102))
+    texts = [base, " ".join([base] * 12), "", "one two", "a b c", "x x x x x x"]
+    owner, sig, sizes = neardup.partitions(texts, sized=True)
+    assert sizes.tolist() == [len(set(zip(w, w[1:], w[2:]))) for w in (t.split(" ") for t in texts)]
+    assert (owner == 0).sum() == (owner == 1).sum() == neardup.PARTITIONS
+
+
 def test_hot_signature_meets_in_blocks():
     rng = np.random.default_rng(0)
     h = rng.integers(-(2**62), 2**62, 40)
