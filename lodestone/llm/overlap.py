@@ -5,19 +5,21 @@ every window of ``WINDOW`` rolling hashes of ``GRAM`` characters the smallest is
 so that two texts with ``GRAM + WINDOW - 1`` characters in common share a fingerprint. An answer
 is one window, whatever its length, as only equal answers count: equal answers select the same
 hash. Evaluation and training records are joined on the answers' fingerprints; where one is
-frequent on both sides, on the pair of it and a fingerprint of the query, so that a frequent answer
-alone brings no records together, and the rest meets in blocks. The query's fingerprints that a
-candidate pair has in common are chained where they are collinear, the chain is extended by
+frequent on both sides, on the pair of it and a word of the query's prefix: of its distinct words,
+the rarest first, so many that two queries with a share of ``SHARE`` have one of them in common.
+So a frequent answer alone brings no records together and no pair is lost, and the rest meets in
+blocks. The query's fingerprints that a candidate pair has in common are chained where they are collinear, the chain is extended by
 alignment at both ends and between its seeds, and the covered part of either query is
 reported. An exact check of the definition follows.
 
-Queries too short for a fingerprint (fewer than ``GRAM`` bare characters) are one seed as a
-whole. Null queries, null, empty and blank answers and answers of fewer than ten bare
+Queries too short for a fingerprint (fewer than ``GRAM`` bare characters) are one fingerprint as
+a whole. Null queries, null, empty and blank answers and answers of fewer than ten bare
 characters bring no pair. Repeated rows of an id are one record. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.neardup import _summed
 from lodestone.llm.text import bare_text, words
 from lodestone.operators.pairs import BLOCK
 from lodestone.session import materialize, table
 
 GRAM = 8
 WINDOW = 12
-#: Pairs that an answer's seed may bring together on its own; beyond, a seed of the query must agree too.
+#: Pairs that an answer's seed may bring together on its own; beyond, a word of the query's prefix must agree too.
 RARE = 4096
+#: Counters by which words are ordered, rare ones first (4 MB); any order gives the same pairs.
+COUNTERS = 1 << 20
 SHARE = 0.6
 LEAST = 10
 BASE = np.uint64(0x100000001B3)
@@ -200,15 +205,43 @@ def answer_seeds(df: DataFrame) -> DataFrame:
     return df.select("id", "answers", (F.col("split") == "train").alias("train")).mapInArrow(run, "seed long, id string, train boolean")
 
 
-def with_query_seeds(df: DataFrame) -> DataFrame:
-    """``df(seed, id, train, query)`` with each seed joined to each fingerprint of the query."""
+def word_codes(query: str | None) -> np.ndarray:
+    """Codes of the distinct words of a query."""
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, set(words(query))), np.uint64))
+
+
+def prefix(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest of a query's words, so many that less than the share of them is left without one.
+
+    Two queries with the share have at least that part of either's words in common, and so, both
+    being in one order of all words, a word of both prefixes.
+    """
+    order = np.lexsort((codes, counts[(codes & np.uint64(len(counts) - 1)).astype(np.int64)]))
+    return codes[order[: len(codes) - math.ceil(SHARE * len(codes) - 1e-9) + 1]]
+
+
+def word_counts(rec: DataFrame) -> np.ndarray:
+    """How many queries the words of each counter occur in."""
+
+    def slots(b: pa.RecordBatch) -> np.ndarray:
+        codes = [word_codes(q) for q in b.column(0).to_pylist()]
+        return (np.concatenate([np.zeros(0, np.uint64), *codes]) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+    return _summed(rec.select("query"), COUNTERS, slots)
+
+
+def with_query_words(df: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``df(seed, id, train, query)`` with each seed joined to each word of the query's prefix."""
+    shared = df.sparkSession.sparkContext.broadcast(counts)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            owner, _, h = winnow([bare_text(x) for x in b.column(3).to_pylist()])
+            found = [prefix(word_codes(q), shared.value) for q in b.column(3).to_pylist()]
+            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            h = np.concatenate([np.zeros(0, np.uint64), *found])
             seed = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             at = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(_mix(h ^ seed[owner]).view(np.int64)), b.column(1).take(at), b.column(2).take(at)], names=["seed", "id", "train"])
+            yield pa.RecordBatch.from_arrays([pa.array(_mix(h ^ _mix(seed[owner])).view(np.int64)), b.column(1).take(at), b.column(2).take(at)], names=["seed", "id", "train"])
 
     return df.select("seed", "id", "train", "query").mapInArrow(run, "seed long, id string, train boolean")
 
@@ -226,22 +259,27 @@ def _both(s: DataFrame) -> DataFrame:
 
 
 def candidates(rec: DataFrame) -> DataFrame:
-    """Distinct pairs ``(ev, tr)`` that share an answer's seed; where it is frequent, a seed of answer and query."""
+    """Distinct pairs ``(ev, tr)`` that share an answer's seed; where it is frequent, also a word of their prefixes."""
     s = materialize(answer_seeds(rec).distinct(), "seeds")
     sizes = materialize(_both(s), "sizes")
     rare = f"nt * ne <= {RARE}"
     few = _crossed(s, sizes.filter(rare))
-    hot = s.join(sizes.filter(f"not ({rare})").select("seed"), "seed", "left_semi")
+    frequent = sizes.filter(f"not ({rare})").select("seed")
+    if frequent.isEmpty():
+        return few.distinct()
+    hot = s.join(frequent, "seed", "left_semi")
+    counts = word_counts(rec.join(hot.select("id").distinct(), "id", "left_semi"))
     named = hot.join(rec.select("id", "query"), "id")
-    hot = materialize(with_query_seeds(named).distinct(), "hotseeds")
+    hot = materialize(with_query_words(named, counts).distinct(), "hotseeds")
     return few.unionByName(_crossed(hot, _both(hot))).distinct()
 
 
 def overlaps(spark: SparkSession, d: str) -> DataFrame:
     """``(ev, tr, split, source_name, cover_ev, cover_tr, share, same)`` for each candidate pair.
 
-    The covers are the shares of the bare queries that the extended chain covers, share is that
-    of the word sets, and same says whether a long enough answer is common.
+    Share is that of the word sets; same says whether it is large enough and a long enough answer
+    is common. The covers are the shares of the bare queries that the extended chain covers, 0
+    where same is false.
     """
     rec = records(spark, d)
     pairs = materialize(candidates(rec), "pairs")
@@ -255,16 +293,20 @@ def overlaps(spark: SparkSession, d: str) -> DataFrame:
         for b in batches:
             qe, ae, qt, at = (b.column(i).to_pylist() for i in range(4, 8))
             xs, ys = [bare_text(x) for x in qe], [bare_text(y) for y in qt]
-            fx, fy = _by_owner(xs), _by_owner(ys)
-            ce, ct, sh, same = [], [], [], []
-            for i, (x, y) in enumerate(zip(xs, ys)):
-                m, n = (len(x), len(y)) if x == y else aligned(x, y, [(p, q) for h, p in fx[i].items() if (q := fy[i].get(h)) is not None])
-                ce.append(m / len(x) if x else 0.0)
-                ct.append(n / len(y) if y else 0.0)
+            sh, same = [], []
+            for i in range(len(xs)):
                 p, q = set(words(qe[i])), set(words(qt[i]))
                 sh.append(len(p & q) / len(p | q) if p | q else 0.0)
-                f = {z for z in map(bare_text, ae[i] or ()) if len(z) >= LEAST}
-                same.append(any(z in f for z in map(bare_text, at[i] or ())))
+                f = {z for z in map(bare_text, ae[i] or ()) if len(z) >= LEAST} if sh[i] >= SHARE - 1e-12 else ()
+                same.append(any(z in f for z in map(bare_text, at[i] or ())) if f else False)
+            ce, ct = [0.0] * len(xs), [0.0] * len(xs)
+            found = [i for i, z in enumerate(same) if z]  # only these are aligned
+            fx, fy = _by_owner([xs[i] for i in found]), _by_owner([ys[i] for i in found])
+            for k, i in enumerate(found):
+                x, y = xs[i], ys[i]
+                m, n = (len(x), len(y)) if x == y else aligned(x, y, [(p, q) for h, p in fx[k].items() if (q := fy[k].get(h)) is not None])
+                ce[i] = m / len(x) if x else 0.0
+                ct[i] = n / len(y) if y else 0.0
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(4)), pa.array(ce, pa.float64()), pa.array(ct, pa.float64()), pa.array(sh, pa.float64()), pa.array(same, pa.bool_())],
                 names=["ev", "tr", "split", "source_name", "cover_ev", "cover_tr", "share", "same"],

@@ -66,6 +66,28 @@ def test_overlap_with_hot_answer(spark, tmp_path, monkeypatch):
     assert {r.split for r in overlap.p1_report(spark, d).collect()} <= {"test", "validation"}
 
 
+def test_frequent_answers_lose_no_pair(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(40)]
+    rows = []
+    for k in range(50):
+        base = rng.sample(pool, rng.choice([2, 3, 5, 9]))
+        for c in range(3):
+            q = rng.sample(base, len(base))  # reordered, and with an edit
+            if c and len(q) > 4:
+                q[3] = f"x{rng.randrange(9)}"
+            rows.append((f"q{k}-{c}", " ".join(q), ["one very common answer"], rng.choice(["train", "test"])))
+    rows += [("a", "is it so", ["one very common answer"], "train"), ("b", "it is so", ["one very common answer"], "test"), ("c", "?", ["one very common answer"], "test")]
+    write(spark, tmp_path, "queries", [(*r, "src", 1) for r in rows], "id string, query string, answers array<string>, split string, source_name string, seed int")
+    want = brute_overlap(rows)
+    assert len(want) > 30
+    d = f"file://{tmp_path}"
+    for most in (10**6, 1):  # rare, and frequent
+        monkeypatch.setattr(overlap, "RARE", most)
+        monkeypatch.setattr(overlap, "BLOCK", 5)
+        assert {(r.id_a, r.id_b) for r in overlap.p1_found(spark, d).collect()} == want
+
+
 def test_alignment_covers():
     a, b = "thequickbrownfoxjumpsoverthelazydog", "thequickbrownfaxjumpsoverthelazydog"
     (_, _, ha), (_, _, hb) = overlap.winnow([a]), overlap.winnow([b])
