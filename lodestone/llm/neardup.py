@@ -5,16 +5,23 @@ as word sequences are one class first. In each class's text, anchors are taken:
 hashes are the ``PARTITIONS`` smallest, so that similar texts take mostly the same. The bits around
 an anchor, which an edit hits together, make a partition. A partition has a threshold: -1
 (not looked at), 0 (all of its eleven words must agree), or 1 (one of its two halves may be hit:
-by the pigeonhole principle the other half agrees). The thresholds t are allocated for each text by
-dynamic programming so that the sum of (t + 1) is ``BUDGET`` and the estimated number of
-candidates is least; the estimates come from a table of counters over all texts, whose
-size is bounded and set by their number. Partitions probed under a common signature give
-candidate pairs, which are verified on their whole texts by the exact share.
+by the pigeonhole principle the other half agrees).
+
+The thresholds are allocated for each text by dynamic programming, so that the estimated number of
+candidates is least and the sum of the thresholds' weights is the budget. Weights and budget
+follow from the share (``demand``): of two texts with just that share whose edits are spread
+evenly, the worst case, a partition at threshold 0 finds the pair with a small chance and one at 1
+with a larger one, and the budget is what makes all chances together miss by ``MISS`` at most.
+The estimates come from a table of counters over all texts, whose size is bounded and set by their
+number; what lies below the table's noise counts alike, and then the first anchors are
+taken, which similar texts have in common. Partitions probed under a common signature give candidate
+pairs, which are verified on their whole texts by the exact share.
 
 The anchors are a sample of each text's bits, so the guarantee is one of probability: the recall
-against brute force is measured in the tests and stated in the README. Nothing is capped:
-signatures whose counter is small are grouped (the counter is an upper bound of the group),
-the others meet in blocks.
+against brute force is measured in the tests and stated in the README by kind and length. With
+``exhaustive`` every signature of every anchor of every run is probed, whatever its cost.
+Signatures whose counter is small are grouped (the counter is an upper bound of the group),
+the others meet in blocks; none is dropped.
 
 Null titles and contents are blank; records without a word belong to no pair, and texts of one
 or two words are in pairs with equal ones only. Repeated rows of an id are one record. An
@@ -40,13 +47,20 @@ from lodestone.session import materialize, table
 
 SHARE = 0.6
 PARTITIONS = 20
-BUDGET = 14
+#: Chance that a pair of the least share whose edits are spread evenly is missed, one half of a partition counted.
+MISS = 0.03
+#: Anchors of the exhaustive way: all runs.
+EVERY_RUN = 1 << 30
 #: Words before an anchor's run and after it that belong to its partition.
 REACH = 4
 #: Values that a byte stands for in the table of counters.
 LEVELS = np.concatenate([np.arange(65.0), 64.0 * 1.1 ** np.arange(1, 192)])
-#: Logarithm of the largest number of counters (32 MB of bytes).
-COUNTERS = 25
+#: Logarithm of the largest number of counters (32 MB of bytes), and counters for each text below that.
+COUNTERS, PER_TEXT = 25, 64
+#: Signatures of up to so many texts cost alike, so that near texts choose alike.
+FEW = 8.0
+#: Counters that are summed and sent together.
+CHUNK = 1 << 12
 #: Logarithm of the largest bit table that is broadcast (8 MB).
 BITS = 26
 #: Sizes, in distinct runs, are in classes by this logarithm; texts whose classes are farther apart than this can't have the share.
@@ -136,71 +150,106 @@ def partitions(texts: list[str], m: int = PARTITIONS, reach: int = REACH, sized:
     keep = np.arange(len(at)) - first[owner] < m
     at, owner = at[keep], owner[keep]
     a, b = np.maximum(at - reach, begins[owner]), np.minimum(at + 3 + reach, ends[owner])
-    return owner, np.stack([run(a, b), run(a, at + 3), run(at, b)], axis=1), sizes
+    return owner, np.stack([run(a, b), run(a, at + 3), run(at, b)] if m < EVERY_RUN else [run(at, at + 3)] * 3, axis=1), sizes
 
 
-def allocate(owner: np.ndarray, cost0: np.ndarray, cost1: np.ndarray, count: int, m: int = PARTITIONS, budget: int = BUDGET) -> np.ndarray:
-    """Thresholds of the partitions: for each owner the sum of (t + 1) is the budget at the least cost.
+def demand(share: float, reach: int = REACH, miss: float = MISS) -> tuple[int, int]:
+    """``(weight, budget)``: of a partition at threshold 1, where one at 0 weighs 1; and the sum that a text needs.
+
+    With the share each edit of a word has ``every`` words to itself, as it takes three runs from
+    either text; a window of w words is free of evenly spread edits with the chance (every - w) / every.
+    """
+    every = max(2 * reach + 4.0, 3 * (1 + share) / max(1e-9, 1 - share))
+    power = lambda w: -math.log(w / every)
+    weight = max(2, round(power(3 + reach) / power(3 + 2 * reach)))
+    return weight, weight * math.ceil(-math.log(miss) / power(3 + 2 * reach) / weight)
+
+
+def allocate(owner: np.ndarray, cost0: np.ndarray, cost1: np.ndarray, count: int, m: int = PARTITIONS, budget: int = 14, weight: int = 2, single: np.ndarray | None = None) -> np.ndarray:
+    """Thresholds of the partitions: for each owner their weights (0, 1 and ``weight``) add up to the budget at the least cost.
 
     Exact dynamic programming over the partitions of all owners at once. A threshold of infinite
-    cost isn't taken; where the budget can't be spent, as much of it as can be is.
+    cost isn't taken; where the budget can't be spent, as much of it as can be is. Of equal
+    costs the first partitions are taken. Where ``single`` says that only one half of a partition
+    can be met, threshold 1 weighs half as much.
     """
     first = np.searchsorted(owner, np.arange(count))
     k = np.arange(len(owner)) - first[owner]
-    c = np.full((count, m, 3), np.inf)
-    c[:, :, 0] = 0.0
-    c[owner, k, 1], c[owner, k, 2] = cost0, cost1
-    best = np.full((count, budget + 1), np.inf)
-    best[:, 0] = 0.0
+    steps = [(1, 1), (2, weight)] if single is None else [(1, 1), (2, weight // 2), (3, weight)]
+    c = np.full((m, count, len(steps)), np.inf, dtype=np.float32)
+    c[k, owner, 0] = cost0
+    c[k, owner, len(steps) - 1] = cost1 if single is None else np.where(single, np.inf, cost1)
+    if single is not None:
+        c[k, owner, 1] = np.where(single, cost1, np.inf)
+    rest = np.full((count, budget + 1), np.inf, dtype=np.float32)
+    rest[:, 0] = 0.0
     picks = np.zeros((m, count, budget + 1), dtype=np.int8)
-    for i in range(m):
-        now = best.copy()
-        for t in (1, 2):
-            moved = np.full_like(best, np.inf)
-            moved[:, t:] = best[:, : budget + 1 - t] + c[:, i, t][:, None]
-            better = moved < now
-            now = np.where(better, moved, now)
-            picks[i][better] = t
-        best = now
+    for i in range(m - 1, -1, -1):  # rest: least cost of spending so much on the partitions from i on
+        now = rest.copy()
+        for t, w in steps:
+            if w > budget:
+                continue
+            moved = rest[:, : budget + 1 - w] + c[i, :, t - 1][:, None]
+            better = (moved <= now[:, w:]) & np.isfinite(moved)
+            now[:, w:][better] = moved[better]
+            picks[i][:, w:][better] = t
+        rest = now
     out = np.full((count, m), -1, dtype=np.int8)
-    left = budget - np.argmax(np.isfinite(best[:, ::-1]), axis=1)
+    left = budget - np.argmax(np.isfinite(rest[:, ::-1]), axis=1)
     rows = np.arange(count)
-    for i in range(m - 1, -1, -1):
+    spent = np.array([0, *(w for _, w in steps)])
+    for i in range(m):
         t = picks[i][rows, left]
-        out[:, i] = t - 1
-        left = left - t
+        out[:, i] = np.minimum(t, 2) - 1
+        left = left - spent[t]
     return out[owner, k]
 
 
 def _summed(parts: DataFrame, width: int, slots) -> np.ndarray:
-    """How often each of ``width`` slots occurs; ``slots`` gives those of a batch. Its size doesn't follow the table's."""
-    chunk = min(width, 1 << 16)
+    """How often each of ``width`` slots occurs, as places in ``LEVELS`` (rounded up); ``slots`` gives those of a batch.
+
+    A task sends the chunks of counters that its rows hit, compressed: in proportion to its rows. They are
+    added in the order of their chunks, one at a time, so that no task holds more than one sum.
+    """
+    chunk = min(width, CHUNK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, dtype=np.int32)
+        total = np.zeros(width, dtype=np.uint32)
         for b in batches:
             at, n = np.unique(slots(b), return_counts=True)
-            total[at] += n.astype(np.int32)
-        found = [(i // chunk, zlib.compress(total[i : i + chunk].tobytes(), 1)) for i in range(0, width, chunk) if total[i : i + chunk].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int32()), pa.array([p[1] for p in found], pa.binary())], names=["part", "data"])
-
-    def add(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(chunk, dtype=np.int64)
-        for x in df["data"]:
-            total += np.frombuffer(zlib.decompress(x), dtype=np.int32)
-        return pd.DataFrame({"part": [int(key[0])], "data": [zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
-
-    out = np.zeros(width, dtype=np.int32)
-    for r in parts.mapInArrow(run, "part int, data binary").groupBy("part").applyInPandas(add, "part int, data binary").collect():  # at most width numbers
-        out[r["part"] * chunk : (r["part"] + 1) * chunk] = np.frombuffer(zlib.decompress(bytes(r["data"])), dtype=np.int32)
+            total[at] += n.astype(np.uint32)
+        hit = np.flatnonzero(total.reshape(-1, chunk).any(axis=1))
+        for some in np.array_split(hit, max(1, len(hit) // 1024)):
+            data = [zlib.compress(total[i * chunk : (i + 1) * chunk].tobytes(), 1) for i in some.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, np.zeros(chunk, dtype=np.int64)
+        done: list[tuple[int, bytes]] = []
+        level = lambda: zlib.compress(np.searchsorted(LEVELS, np.minimum(total, LEVELS[-1])).astype(np.uint8).tobytes(), 6)
+        for b in batches:
+            for p, x in zip(b.column(0).to_pylist(), b.column(1)):
+                if p != last and last is not None:
+                    done.append((last, level()))
+                    total[:] = 0
+                last = p
+                total += np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint32)
+        if last is not None:
+            done.append((last, level()))
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.int32()), pa.array([x for _, x in done], pa.binary())], names=["part", "data"])
+
+    sent = parts.mapInArrow(run, "part int, data binary").repartition("part").sortWithinPartitions("part")
+    out = np.zeros(width, dtype=np.uint8)
+    for r in sent.mapInArrow(add, "part int, data binary").collect():  # at most width bytes
+        out[r["part"] * chunk : (r["part"] + 1) * chunk] = np.frombuffer(zlib.decompress(bytes(r["data"])), dtype=np.uint8)
     return out
 
 
-def counters(texts: DataFrame, width: int) -> np.ndarray:
+def counters(texts: DataFrame, width: int, m: int = PARTITIONS) -> np.ndarray:
     """How often the signatures of each counter occur in all texts."""
 
     def slots(b: pa.RecordBatch) -> np.ndarray:
-        _, sig, _ = partitions(b.column(0).to_pylist())
+        _, sig, _ = partitions(b.column(0).to_pylist(), m)
         return (sig.reshape(-1) & np.uint64(width - 1)).astype(np.int64)
 
     return _summed(texts.select("text"), width, slots)
@@ -223,31 +272,34 @@ def only_paired(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return texts.filter(paired("h"))
 
 
-def signatures(texts: DataFrame, counts: np.ndarray, cold: int) -> DataFrame:
+def signatures(texts: DataFrame, counts: np.ndarray, cold: int, noise: float, share: float = SHARE, exhaustive: bool = False) -> DataFrame:
     """``(sig, h)``: what each text is probed under; the lowest ten bits of sig are its side and the class of its size.
 
     The texts of a signature with more than ``cold`` by its counter are in blocks, and for every two
     blocks p <= q there is a signature of its own, under which the texts of p (side 1) meet
     those of q (side 2). Otherwise, and within a block, all meet (side 0).
     """
-    # A byte a counter, rounded up where it is large: still an upper bound.
-    shared = texts.sparkSession.sparkContext.broadcast(np.searchsorted(LEVELS, counts).astype(np.uint8))  # of bounded size
+    shared = texts.sparkSession.sparkContext.broadcast(counts)  # a byte a counter: of bounded size
     mask = np.uint64(len(counts) - 1)
+    weight, budget = demand(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = shared.value
         for b in batches:
             h = b.column(0).to_numpy(zero_copy_only=False)
-            owner, sig, sizes = partitions(b.column(1).to_pylist(), sized=True)
+            owner, sig, sizes = partitions(b.column(1).to_pylist(), EVERY_RUN if exhaustive else PARTITIONS, sized=True)
             seen = LEVELS[table_[(sig & mask).astype(np.int64)]]
-            # The texts that a signature would bring. One that no other text can have, as its counter says, brings none:
-            # it isn't worth a part of the budget, and isn't sent.
+            # A signature that no other text can have, as its counter says, isn't worth a part of the budget, and isn't sent.
             shared_by = seen > 1
-            none = np.full(len(sig), np.inf)
-            cost0 = np.where(shared_by[:, 0], seen[:, 0], none)
-            cost1 = np.where(shared_by[:, 1:].any(axis=1), seen.sum(axis=1), none)
-            t = allocate(owner, cost0, cost1, len(h))
-            keep = np.stack([t >= 0, t >= 1, t >= 1], axis=1) & shared_by
+            if exhaustive:
+                keep = shared_by
+            else:
+                likely = np.where(shared_by, np.maximum(seen, noise), 0.0)
+                single = shared_by[:, 1] != shared_by[:, 2]
+                cost0 = np.where(shared_by[:, 0], likely[:, 0], np.inf)
+                cost1 = np.where(shared_by[:, 1:].any(axis=1), likely[:, 1] + likely[:, 2], np.inf)
+                t = allocate(owner, cost0, cost1, len(h), PARTITIONS, budget, weight, single)
+                keep = np.stack([t >= 0, t >= 1, t >= 1], axis=1) & shared_by
             who = np.repeat(owner, 3).reshape(-1, 3)[keep]
             s, est = sig[keep], seen[keep]
             order = np.lexsort((s, who))
@@ -381,25 +433,24 @@ def classes(records: DataFrame) -> DataFrame:
     return materialize(records.filter("id is not null").select("id", "title", "content").mapInArrow(run, "id string, key binary, h long, text string"), "texts")
 
 
-def similar_classes(texts: DataFrame, share: float = SHARE) -> DataFrame:
+def similar_classes(texts: DataFrame, share: float = SHARE, exhaustive: bool = False) -> DataFrame:
     """Pairs ``(ka, kb)`` of classes with different texts whose share is large enough."""
     n = texts.count()
-    # Counters in proportion to the texts, so that unrelated signatures add about as much to one at any size: that orders
-    # the rare signatures in the same way for all texts. From the bound on they add more, as the table grows,
-    # but so grow the counts of the frequent signatures that are to be told apart.
-    width = 1 << min(COUNTERS, max(10, math.ceil(math.log2(max(1, 16 * n)))))
-    counts = counters(texts, width)
-    cold = max(BLOCK, int(4 * counts.mean()))
-    sigs = signatures(texts, counts, cold)
+    # Counters in proportion to the texts, so that unrelated signatures add about as much to one at any size. From
+    # the bound on they add more: costs below that noise count alike.
+    width = 1 << min(COUNTERS, max(10, math.ceil(math.log2(max(1, PER_TEXT * n)))))
+    counts = counters(texts, width, EVERY_RUN if exhaustive else PARTITIONS)
+    noise = float(LEVELS[counts].mean())
+    sigs = signatures(texts, counts, max(BLOCK, int(4 * noise)), max(FEW, 2 * noise), share, exhaustive)
     pairs = materialize(candidates(sigs), "pairs")
     return verified(pairs, only_paired(texts.select("h", "key", "text"), pairs), share)
 
 
-def near_pairs(records: DataFrame, share: float = SHARE) -> DataFrame:
+def near_pairs(records: DataFrame, share: float = SHARE, exhaustive: bool = False) -> DataFrame:
     """Pairs ``(id_a, id_b)`` of ``records(id, title, content)``, id_a < id_b, with a share of at least ``share`` (no less than SHARE) or equal words."""
     texts = classes(records)
     members = texts.select("key", "id").distinct()
-    links = similar_classes(texts, share)
+    links = similar_classes(texts, share, exhaustive)
     a = members.select(F.col("key").alias("ka"), F.col("id").alias("x"))
     b = members.select(F.col("key").alias("kb"), F.col("id").alias("y"))
     across = links.join(a, "ka").join(b, "kb").filter("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
@@ -453,4 +504,18 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
-SQL: dict[str, str] = {}
+
+_TEXT = "array_to_string(list_filter(regexp_split_to_array(lower(CASE WHEN coalesce(title, '') <> '' THEN title || ' ' ELSE '' END || coalesce(content, '')), '[^\\pL\\pN]+'), lambda w: w <> ''), ' ')"
+SQL = {
+    # Brute force: every two texts with a common run are compared.
+    "p2_found": f"""
+      WITH r AS (SELECT DISTINCT id, {_TEXT} AS t FROM sections WHERE id IS NOT NULL AND NOT coalesce(deleted, false)),
+      c AS (SELECT t, row_number() OVER (ORDER BY t) AS k, string_split(t, ' ') AS w FROM (SELECT DISTINCT t FROM r WHERE t <> '')),
+      g AS (SELECT DISTINCT k, hash(w[i], w[i + 1], w[i + 2]) AS h FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM c)),
+      n AS (SELECT k, count(*) AS n FROM g GROUP BY 1),
+      b AS (SELECT x.k AS ka, y.k AS kb, count(*) AS both_ FROM g x JOIN g y ON x.h = y.h AND x.k < y.k GROUP BY 1, 2),
+      l AS (SELECT ka, kb FROM b JOIN n p ON p.k = ka JOIN n q ON q.k = kb WHERE both_ >= {SHARE} * (p.n + q.n - both_) - 1e-9),
+      m AS (SELECT id, k FROM r JOIN c USING (t))
+      SELECT DISTINCT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b
+      FROM (SELECT ka, kb FROM l UNION ALL SELECT k, k FROM c) p JOIN m x ON x.k = p.ka JOIN m y ON y.k = p.kb WHERE x.id <> y.id""",
+}
