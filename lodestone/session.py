@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +28,35 @@ def local_session(cpus: int = 8, app: str = "lodestone", memory: str = "8g", par
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, once for each application.
+
+    They import it whatever folder the driver was started in, and executors that join later get it too. The
+    archive is written to the shared folder.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestone_shipped", False):
+        return spark
+    root = Path(__file__).resolve().parent
+    if not root.is_dir():  # imported from an archive that is shipped already
+        return spark
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{root.name}-{uuid.uuid4().hex}.zip")
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(path.getParent())
+    out = fs.create(path)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(path.toString())
+    sc._lodestone_shipped = True
     return spark
 
 
@@ -60,4 +92,4 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
