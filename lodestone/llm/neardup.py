@@ -47,8 +47,8 @@ from lodestone.session import materialize, table
 
 SHARE = 0.6
 PARTITIONS = 20
-#: Chance that a pair of the least share whose edits are spread evenly is missed, one half of a partition counted.
-MISS = 0.03
+#: Chance that a pair of the least share whose edits are spread evenly is missed if only one half of each partition counts; both count.
+MISS = 0.13
 #: Anchors of the exhaustive way: all runs.
 EVERY_RUN = 1 << 30
 #: Words before an anchor's run and after it that belong to its partition.
