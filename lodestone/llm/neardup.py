@@ -8,10 +8,10 @@ an anchor, which an edit hits together, make a partition. A partition has a thre
 by the pigeonhole principle the other half agrees).
 
 The thresholds are allocated for each text by dynamic programming, so that the estimated number of
-candidates is least and the sum of the thresholds' weights is the budget. Weights and budget
-follow from the share (``demand``): of two texts with just that share whose edits are spread
-evenly, the worst case, a partition at threshold 0 finds the pair with a small chance and one at 1
-with a larger one, and the budget is what makes all chances together miss by ``MISS`` at most.
+candidates is least: ``LOOKED`` partitions are looked at as a whole, which finds texts with few or
+clustered edits, and some are raised to 1, which finds those with edits everywhere. How much is
+raised follows from the share (``demand``): of two texts with just that share whose edits are spread
+evenly, the worst case, a half is met with a certain chance, and the budget makes all chances together miss by ``MISS`` at most.
 The estimates come from a table of counters over all texts, whose size is bounded and set by their
 number; what lies below the table's noise counts alike, and then the first anchors are
 taken, which similar texts have in common. Partitions probed under a common signature give candidate
@@ -46,7 +46,9 @@ from lodestone.operators.pairs import BLOCK, pairs_within
 from lodestone.session import materialize, table
 
 SHARE = 0.6
-PARTITIONS = 20
+PARTITIONS = 16
+#: Partitions of a text that are looked at: those at threshold 0 or more.
+LOOKED = 4
 #: Chance that a pair of the least share whose edits are spread evenly is missed if only one half of each partition counts; both count.
 MISS = 0.13
 #: Anchors of the exhaustive way: all runs.
@@ -57,8 +59,8 @@ REACH = 4
 LEVELS = np.concatenate([np.arange(65.0), 64.0 * 1.1 ** np.arange(1, 192)])
 #: Logarithm of the largest number of counters (32 MB of bytes), and counters for each text below that.
 COUNTERS, PER_TEXT = 25, 64
-#: Signatures of up to so many texts cost alike, so that near texts choose alike.
-FEW = 8.0
+#: Signatures of up to so many texts cost alike.
+FEW = 4.0
 #: Counters that are summed and sent together.
 CHUNK = 1 << 12
 #: Logarithm of the largest bit table that is broadcast (8 MB).
@@ -66,6 +68,9 @@ BITS = 26
 #: Sizes, in distinct runs, are in classes by this logarithm; texts whose classes are farther apart than this can't have the share.
 CLASS = math.log(1.1)
 APART = math.ceil(-math.log(SHARE) / CLASS) + 1
+#: Columns of a sketch, equal places that a likely pair has, and the set's size below which sketches aren't asked.
+SKETCH = ("s0", "s1", "s2", "s3")
+AGREE, SMALL = 20, 64
 GAPS = re.compile(r"[\W_]+")
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -99,30 +104,60 @@ def distinct_runs(owner: np.ndarray, h: np.ndarray, count: int) -> np.ndarray:
     return np.bincount((k[new] >> low).astype(np.int64), minlength=count)
 
 
-def partitions(texts: list[str], m: int = PARTITIONS, reach: int = REACH, sized: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts of words with one space between: owner, signatures (whole, left, right) of each partition; and sizes.
-
-    Sizes are numbers of runs with their repeats, or where ``sized`` of distinct runs, which the share is of.
-    """
-    if not texts:
-        return np.zeros(0, np.int64), np.zeros((0, 3), np.uint64), np.zeros(0, np.int64)
+def _runs(texts: list[str]):
+    """Of texts of words with one space between: ends, begins, numbers of runs, places and owners of the runs, and a hash of any words."""
     flat = " ".join(texts).split(" ")
     lens = np.fromiter((t.count(" ") + 1 for t in texts), np.int64, len(texts))
     c = np.fromiter(map(_CODES.__getitem__, flat), np.uint64, len(flat))
     ends = np.cumsum(lens)
-    begins = ends - lens
-    sizes = np.maximum(lens - 2, 0)
     n = len(c)
-    if n < 3:
-        return np.zeros(0, np.int64), np.zeros((0, 3), np.uint64), sizes
     power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE, np.uint64)]))
     inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE_INVERSE, np.uint64)]))
     total = np.concatenate([[np.uint64(0)], np.cumsum(c * power[:n])])
     run = lambda a, b: _mix((total[b] - total[a]) * inverse[a])
-    at = np.arange(n - 2)
-    owner = np.repeat(np.arange(len(texts)), lens)[: n - 2]
+    at = np.arange(max(0, n - 2))
+    owner = np.repeat(np.arange(len(texts)), lens)[: n - 2] if n > 2 else at
     good = at + 2 < ends[owner]
-    at, owner = at[good], owner[good]
+    return ends, ends - lens, np.maximum(lens - 2, 0), at[good], owner[good], run
+
+
+def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(sketch, size)``: of each text's set of runs the smallest hash of each of 64 bins, four bits of it, in four numbers; and the set's size.
+
+    An empty bin takes the next one's, so that of two sets' sketches as many agree as the share says, and one in sixteen of the others.
+    """
+    n = len(texts)
+    out = np.zeros((n, 64), np.uint64)
+    if not n:
+        return np.zeros((0, 4), np.int64), np.zeros(0, np.int64)
+    _, _, _, at, owner, run = _runs(texts)
+    h = run(at, at + 3)
+    low = np.uint64(64 - max(1, n.bit_length()))
+    k = np.unique((owner.astype(np.uint64) << low) | (h >> (np.uint64(64) - low)))
+    size = np.bincount((k >> low).astype(np.int64), minlength=n)
+    cell = (k >> (low - np.uint64(6))).astype(np.int64)  # owner and bin
+    first = np.ones(len(k), dtype=bool)
+    first[1:] = cell[1:] != cell[:-1]
+    full = np.zeros(n * 64, dtype=bool)
+    full[cell[first]] = True
+    full = full.reshape(n, 64)
+    out.reshape(-1)[cell[first]] = _mix(k[first] & ((np.uint64(1) << low) - np.uint64(1))) & np.uint64(15)
+    place = np.where(np.concatenate([full, full], axis=1), np.arange(128), 999)
+    after = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :64]
+    out = np.take_along_axis(out, np.where(after < 999, after, 0) % 64, axis=1).reshape(n, 4, 16)
+    return (out << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64), size
+
+
+def partitions(texts: list[str], m: int = PARTITIONS, reach: int = REACH, sized: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of words with one space between: owner, signatures (whole, left, right) of each partition; and sizes.
+
+    Sizes are numbers of runs with their repeats, or where ``sized`` of distinct runs, which the share is of.
+    """
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros((0, 3), np.uint64), np.zeros(0, np.int64)
+    ends, begins, sizes, at, owner, run = _runs(texts)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros((0, 3), np.uint64), sizes
     h = run(at, at + 3)
     # Most runs can't be among the smallest: only those under three times the expected limit are ordered.
     limit = np.minimum(1.0, 3.0 * m / np.maximum(sizes, 1))[owner]
@@ -294,12 +329,14 @@ def signatures(texts: DataFrame, counts: np.ndarray, cold: int, noise: float, sh
             if exhaustive:
                 keep = shared_by
             else:
-                likely = np.where(shared_by, np.maximum(seen, noise), 0.0)
+                # Costs in steps of four: else a text of a large group would take the signatures that fewest of its group have.
+                likely = np.where(shared_by, 4.0 ** np.ceil(np.log(np.maximum(seen, noise)) / math.log(4.0)), 0.0)
                 single = shared_by[:, 1] != shared_by[:, 2]
-                cost0 = np.where(shared_by[:, 0], likely[:, 0], np.inf)
                 cost1 = np.where(shared_by[:, 1:].any(axis=1), likely[:, 1] + likely[:, 2], np.inf)
-                t = allocate(owner, cost0, cost1, len(h), PARTITIONS, budget, weight, single)
-                keep = np.stack([t >= 0, t >= 1, t >= 1], axis=1) & shared_by
+                never = np.full(len(owner), np.inf, dtype=np.float32)
+                whole = allocate(owner, np.where(shared_by[:, 0], likely[:, 0], np.inf), never, len(h), PARTITIONS, LOOKED) >= 0
+                half = allocate(owner, never, cost1, len(h), PARTITIONS, budget, weight, single) >= 1
+                keep = np.stack([whole, half, half], axis=1) & shared_by
             who = np.repeat(owner, 3).reshape(-1, 3)[keep]
             s, est = sig[keep], seen[keep]
             order = np.lexsort((s, who))
@@ -412,13 +449,39 @@ def verified(pairs: DataFrame, texts: DataFrame, share: float = SHARE) -> DataFr
             at = pa.array(ok, pa.int32())
             yield pa.RecordBatch.from_arrays([ka.take(at), kb.take(at)], names=["ka", "kb"])
 
-    # One exchange of the texts serves both sides of a pair; equal texts are dropped behind it.
-    t = texts.select("h", "key", "text").repartition("h").dropDuplicates(["h", "key"])
+    # One exchange of the texts serves all sides; equal texts are dropped behind it.
+    t = texts.select("h", "key", "text", *SKETCH, "size").repartition("h").dropDuplicates(["h", "key"])
+    pairs = _likely(pairs, t)
     j = pairs.join(t.select(F.col("h").alias("ha"), F.col("key").alias("ka"), F.col("text").alias("ta")), "ha")
     j = j.join(t.select(F.col("h").alias("hb"), F.col("key").alias("kb"), F.col("text").alias("tb")), "hb")
     return j.select("ka", "kb", "ta", "tb").mapInArrow(run, "ka binary, kb binary")
 
 
+def with_sketches(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sk, size = sketches(b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(sk[:, i])) for i in range(4)), pa.array(size)], names=["h", "key", "text", *SKETCH, "size"])
+
+    return texts.select("h", "key", "text").mapInArrow(run, "h long, key binary, text string, " + ", ".join(f"{x} long" for x in SKETCH) + ", size long")
+
+
+def _likely(pairs: DataFrame, t: DataFrame) -> DataFrame:
+    """The pairs that are to be compared by their texts: at least ``AGREE`` of the 64 places of their sketches are equal.
+
+    Of two texts with a share of 0.6, 40 are expected, and fewer than AGREE with a chance of less than one in ten
+    thousand; small sets, whose sketches say less, all pass. So texts travel only for pairs that are likely.
+    """
+    ends = [t.select(F.col("h").alias(x), F.col("size").alias(f"n{x}"), *[F.col(c).alias(f"{c}{x}") for c in SKETCH]).distinct() for x in ("ha", "hb")]
+    other = F.lit(0)
+    for c in SKETCH:
+        d = F.col(f"{c}ha").bitwiseXOR(F.col(f"{c}hb"))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        other = other + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    small = F.least("nha", "nhb") < F.lit(SMALL)
+    return pairs.join(ends[0], "ha").join(ends[1], "hb").filter(small | (64 - other >= AGREE)).select("ha", "hb").distinct()
+
+
 def classes(records: DataFrame) -> DataFrame:
     """``(id, key, h, text)`` of ``records(id, title, content)`` that have a word: text in words, and its 128 bits."""
 
@@ -443,7 +506,7 @@ def similar_classes(texts: DataFrame, share: float = SHARE, exhaustive: bool = F
     noise = float(LEVELS[counts].mean())
     sigs = signatures(texts, counts, max(BLOCK, int(4 * noise)), max(FEW, 2 * noise), share, exhaustive)
     pairs = materialize(candidates(sigs), "pairs")
-    return verified(pairs, only_paired(texts.select("h", "key", "text"), pairs), share)
+    return verified(pairs, with_sketches(only_paired(texts.select("h", "key", "text"), pairs)), share)
 
 
 def near_pairs(records: DataFrame, share: float = SHARE, exhaustive: bool = False) -> DataFrame:
