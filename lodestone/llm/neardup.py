@@ -7,14 +7,12 @@ an anchor, which an edit hits together, make a partition. A partition has a thre
 (not looked at), 0 (all of its eleven words must agree), or 1 (one of its two halves may be hit:
 by the pigeonhole principle the other half agrees).
 
-The thresholds are allocated for each text by dynamic programming, so that the estimated number of
-candidates is least: ``LOOKED`` partitions are looked at as a whole, which finds texts with few or
-clustered edits, and some are raised to 1, which finds those with edits everywhere. How much is
-raised follows from the share (``demand``): of two texts with just that share whose edits are spread
-evenly, the worst case, a half is met with a certain chance, and the budget makes all chances together miss by ``MISS`` at most.
-The estimates come from a table of counters over all texts, whose size is bounded and set by their
-number; what lies below the table's noise counts alike, and then the first anchors are
-taken, which similar texts have in common. Partitions probed under a common signature give candidate
+The thresholds t are allocated for each text by dynamic programming, so that the sum of (t + 1) is
+``BUDGET`` and the estimated number of candidates is least. That takes whole partitions mostly, which
+find texts with few or clustered edits. On top, the first partitions are raised to 1 where
+their halves are rare, which finds texts with edits everywhere; how many follows from the share
+(``demand``). The estimates come from a table of counters over all texts, whose
+size is bounded and set by their number. Partitions probed under a common signature give candidate
 pairs, which are verified on their whole texts by the exact share.
 
 The anchors are a sample of each text's bits, so the guarantee is one of probability: the recall
@@ -46,11 +44,11 @@ from lodestone.operators.pairs import BLOCK, pairs_within
 from lodestone.session import materialize, table
 
 SHARE = 0.6
-PARTITIONS = 16
-#: Partitions of a text that are looked at: those at threshold 0 or more.
-LOOKED = 4
-#: Chance that a pair of the least share whose edits are spread evenly is missed if only one half of each partition counts; both count.
-MISS = 0.13
+PARTITIONS = 20
+#: Sum of (t + 1) over a text's partitions.
+BUDGET = 14
+#: Chance that a pair of the least share whose edits are spread evenly is missed.
+MISS = 0.005
 #: Anchors of the exhaustive way: all runs.
 EVERY_RUN = 1 << 30
 #: Words before an anchor's run and after it that belong to its partition.
@@ -58,9 +56,9 @@ REACH = 4
 #: Values that a byte stands for in the table of counters.
 LEVELS = np.concatenate([np.arange(65.0), 64.0 * 1.1 ** np.arange(1, 192)])
 #: Logarithm of the largest number of counters (32 MB of bytes), and counters for each text below that.
-COUNTERS, PER_TEXT = 25, 64
-#: Signatures of up to so many texts cost alike.
-FEW = 4.0
+COUNTERS, PER_TEXT = 25, 16
+#: Halves of up to so many texts cost next to nothing.
+FEW = 8.0
 #: Counters that are summed and sent together.
 CHUNK = 1 << 12
 #: Logarithm of the largest bit table that is broadcast (8 MB).
@@ -68,9 +66,6 @@ BITS = 26
 #: Sizes, in distinct runs, are in classes by this logarithm; texts whose classes are farther apart than this can't have the share.
 CLASS = math.log(1.1)
 APART = math.ceil(-math.log(SHARE) / CLASS) + 1
-#: Columns of a sketch, equal places that a likely pair has, and the set's size below which sketches aren't asked.
-SKETCH = ("s0", "s1", "s2", "s3")
-AGREE, SMALL = 20, 64
 GAPS = re.compile(r"[\W_]+")
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -121,33 +116,6 @@ def _runs(texts: list[str]):
     return ends, ends - lens, np.maximum(lens - 2, 0), at[good], owner[good], run
 
 
-def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """``(sketch, size)``: of each text's set of runs the smallest hash of each of 64 bins, four bits of it, in four numbers; and the set's size.
-
-    An empty bin takes the next one's, so that of two sets' sketches as many agree as the share says, and one in sixteen of the others.
-    """
-    n = len(texts)
-    out = np.zeros((n, 64), np.uint64)
-    if not n:
-        return np.zeros((0, 4), np.int64), np.zeros(0, np.int64)
-    _, _, _, at, owner, run = _runs(texts)
-    h = run(at, at + 3)
-    low = np.uint64(64 - max(1, n.bit_length()))
-    k = np.unique((owner.astype(np.uint64) << low) | (h >> (np.uint64(64) - low)))
-    size = np.bincount((k >> low).astype(np.int64), minlength=n)
-    cell = (k >> (low - np.uint64(6))).astype(np.int64)  # owner and bin
-    first = np.ones(len(k), dtype=bool)
-    first[1:] = cell[1:] != cell[:-1]
-    full = np.zeros(n * 64, dtype=bool)
-    full[cell[first]] = True
-    full = full.reshape(n, 64)
-    out.reshape(-1)[cell[first]] = _mix(k[first] & ((np.uint64(1) << low) - np.uint64(1))) & np.uint64(15)
-    place = np.where(np.concatenate([full, full], axis=1), np.arange(128), 999)
-    after = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :64]
-    out = np.take_along_axis(out, np.where(after < 999, after, 0) % 64, axis=1).reshape(n, 4, 16)
-    return (out << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64), size
-
-
 def partitions(texts: list[str], m: int = PARTITIONS, reach: int = REACH, sized: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts of words with one space between: owner, signatures (whole, left, right) of each partition; and sizes.
 
@@ -188,55 +156,46 @@ def partitions(texts: list[str], m: int = PARTITIONS, reach: int = REACH, sized:
     return owner, np.stack([run(a, b), run(a, at + 3), run(at, b)] if m < EVERY_RUN else [run(at, at + 3)] * 3, axis=1), sizes
 
 
-def demand(share: float, reach: int = REACH, miss: float = MISS) -> tuple[int, int]:
-    """``(weight, budget)``: of a partition at threshold 1, where one at 0 weighs 1; and the sum that a text needs.
+def demand(share: float, miss: float = MISS) -> int:
+    """How many partitions are raised to threshold 1.
 
-    With the share each edit of a word has ``every`` words to itself, as it takes three runs from
-    either text; a window of w words is free of evenly spread edits with the chance (every - w) / every.
+    Of two texts with just that share an anchor is common with the chance of the share; where their
+    edits are spread evenly, the worst case, one of the halves around a common anchor is free of them.
     """
-    every = max(2 * reach + 4.0, 3 * (1 + share) / max(1e-9, 1 - share))
-    power = lambda w: -math.log(w / every)
-    weight = max(2, round(power(3 + reach) / power(3 + 2 * reach)))
-    return weight, weight * math.ceil(-math.log(miss) / power(3 + 2 * reach) / weight)
+    return max(1, math.ceil(math.log(miss) / math.log(max(1e-9, 1 - share))))
 
 
-def allocate(owner: np.ndarray, cost0: np.ndarray, cost1: np.ndarray, count: int, m: int = PARTITIONS, budget: int = 14, weight: int = 2, single: np.ndarray | None = None) -> np.ndarray:
-    """Thresholds of the partitions: for each owner their weights (0, 1 and ``weight``) add up to the budget at the least cost.
+def allocate(owner: np.ndarray, cost0: np.ndarray, cost1: np.ndarray, count: int, m: int = PARTITIONS, budget: int = 14) -> np.ndarray:
+    """Thresholds of the partitions: for each owner the sum of (t + 1) is the budget at the least cost.
 
     Exact dynamic programming over the partitions of all owners at once. A threshold of infinite
     cost isn't taken; where the budget can't be spent, as much of it as can be is. Of equal
-    costs the first partitions are taken. Where ``single`` says that only one half of a partition
-    can be met, threshold 1 weighs half as much.
+    costs the first partitions are taken.
     """
     first = np.searchsorted(owner, np.arange(count))
     k = np.arange(len(owner)) - first[owner]
-    steps = [(1, 1), (2, weight)] if single is None else [(1, 1), (2, weight // 2), (3, weight)]
-    c = np.full((m, count, len(steps)), np.inf, dtype=np.float32)
-    c[k, owner, 0] = cost0
-    c[k, owner, len(steps) - 1] = cost1 if single is None else np.where(single, np.inf, cost1)
-    if single is not None:
-        c[k, owner, 1] = np.where(single, cost1, np.inf)
+    c = np.full((m, count, 2), np.inf, dtype=np.float32)
+    c[k, owner, 0], c[k, owner, 1] = cost0, cost1
     rest = np.full((count, budget + 1), np.inf, dtype=np.float32)
     rest[:, 0] = 0.0
     picks = np.zeros((m, count, budget + 1), dtype=np.int8)
     for i in range(m - 1, -1, -1):  # rest: least cost of spending so much on the partitions from i on
         now = rest.copy()
-        for t, w in steps:
-            if w > budget:
+        for t in (1, 2):
+            if t > budget:
                 continue
-            moved = rest[:, : budget + 1 - w] + c[i, :, t - 1][:, None]
-            better = (moved <= now[:, w:]) & np.isfinite(moved)
-            now[:, w:][better] = moved[better]
-            picks[i][:, w:][better] = t
+            moved = rest[:, : budget + 1 - t] + c[i, :, t - 1][:, None]
+            better = (moved <= now[:, t:]) & np.isfinite(moved)
+            now[:, t:][better] = moved[better]
+            picks[i][:, t:][better] = t
         rest = now
     out = np.full((count, m), -1, dtype=np.int8)
     left = budget - np.argmax(np.isfinite(rest[:, ::-1]), axis=1)
     rows = np.arange(count)
-    spent = np.array([0, *(w for _, w in steps)])
     for i in range(m):
         t = picks[i][rows, left]
-        out[:, i] = np.minimum(t, 2) - 1
-        left = left - spent[t]
+        out[:, i] = t - 1
+        left = left - t
     return out[owner, k]
 
 
@@ -307,7 +266,7 @@ def only_paired(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return texts.filter(paired("h"))
 
 
-def signatures(texts: DataFrame, counts: np.ndarray, cold: int, noise: float, share: float = SHARE, exhaustive: bool = False) -> DataFrame:
+def signatures(texts: DataFrame, counts: np.ndarray, cold: int, few: float, share: float = SHARE, exhaustive: bool = False) -> DataFrame:
     """``(sig, h)``: what each text is probed under; the lowest ten bits of sig are its side and the class of its size.
 
     The texts of a signature with more than ``cold`` by its counter are in blocks, and for every two
@@ -316,7 +275,7 @@ def signatures(texts: DataFrame, counts: np.ndarray, cold: int, noise: float, sh
     """
     shared = texts.sparkSession.sparkContext.broadcast(counts)  # a byte a counter: of bounded size
     mask = np.uint64(len(counts) - 1)
-    weight, budget = demand(share)
+    budget = demand(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = shared.value
@@ -324,19 +283,18 @@ def signatures(texts: DataFrame, counts: np.ndarray, cold: int, noise: float, sh
             h = b.column(0).to_numpy(zero_copy_only=False)
             owner, sig, sizes = partitions(b.column(1).to_pylist(), EVERY_RUN if exhaustive else PARTITIONS, sized=True)
             seen = LEVELS[table_[(sig & mask).astype(np.int64)]]
-            # A signature that no other text can have, as its counter says, isn't worth a part of the budget, and isn't sent.
+            # A signature that no other text can have, as its counter says, is looked at for nothing: it isn't sent.
             shared_by = seen > 1
             if exhaustive:
                 keep = shared_by
             else:
-                # Costs in steps of four: else a text of a large group would take the signatures that fewest of its group have.
-                likely = np.where(shared_by, 4.0 ** np.ceil(np.log(np.maximum(seen, noise)) / math.log(4.0)), 0.0)
-                single = shared_by[:, 1] != shared_by[:, 2]
-                cost1 = np.where(shared_by[:, 1:].any(axis=1), likely[:, 1] + likely[:, 2], np.inf)
-                never = np.full(len(owner), np.inf, dtype=np.float32)
-                whole = allocate(owner, np.where(shared_by[:, 0], likely[:, 0], np.inf), never, len(h), PARTITIONS, LOOKED) >= 0
-                half = allocate(owner, never, cost1, len(h), PARTITIONS, budget, weight, single) >= 1
-                keep = np.stack([whole, half, half], axis=1) & shared_by
+                cost0 = np.where(shared_by[:, 0], seen[:, 0], np.inf)
+                cost1 = np.where(shared_by[:, 1:].any(axis=1), seen.sum(axis=1), np.inf)
+                t = allocate(owner, cost0, cost1, len(h), PARTITIONS, BUDGET)
+                # The first partitions, which similar texts have in common, are raised where their halves cost next to nothing.
+                k = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(h)))[owner]
+                raised = (k < budget)[:, None] & (seen[:, 1:] <= few)
+                keep = np.concatenate([(t >= 0)[:, None], (t >= 1)[:, None] | raised], axis=1) & shared_by
             who = np.repeat(owner, 3).reshape(-1, 3)[keep]
             s, est = sig[keep], seen[keep]
             order = np.lexsort((s, who))
@@ -449,39 +407,13 @@ def verified(pairs: DataFrame, texts: DataFrame, share: float = SHARE) -> DataFr
             at = pa.array(ok, pa.int32())
             yield pa.RecordBatch.from_arrays([ka.take(at), kb.take(at)], names=["ka", "kb"])
 
-    # One exchange of the texts serves all sides; equal texts are dropped behind it.
-    t = texts.select("h", "key", "text", *SKETCH, "size").repartition("h").dropDuplicates(["h", "key"])
-    pairs = _likely(pairs, t)
+    # One exchange of the texts serves both sides of a pair; equal texts are dropped behind it.
+    t = texts.select("h", "key", "text").repartition("h").dropDuplicates(["h", "key"])
     j = pairs.join(t.select(F.col("h").alias("ha"), F.col("key").alias("ka"), F.col("text").alias("ta")), "ha")
     j = j.join(t.select(F.col("h").alias("hb"), F.col("key").alias("kb"), F.col("text").alias("tb")), "hb")
     return j.select("ka", "kb", "ta", "tb").mapInArrow(run, "ka binary, kb binary")
 
 
-def with_sketches(texts: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sk, size = sketches(b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(sk[:, i])) for i in range(4)), pa.array(size)], names=["h", "key", "text", *SKETCH, "size"])
-
-    return texts.select("h", "key", "text").mapInArrow(run, "h long, key binary, text string, " + ", ".join(f"{x} long" for x in SKETCH) + ", size long")
-
-
-def _likely(pairs: DataFrame, t: DataFrame) -> DataFrame:
-    """The pairs that are to be compared by their texts: at least ``AGREE`` of the 64 places of their sketches are equal.
-
-    Of two texts with a share of 0.6, 40 are expected, and fewer than AGREE with a chance of less than one in ten
-    thousand; small sets, whose sketches say less, all pass. So texts travel only for pairs that are likely.
-    """
-    ends = [t.select(F.col("h").alias(x), F.col("size").alias(f"n{x}"), *[F.col(c).alias(f"{c}{x}") for c in SKETCH]).distinct() for x in ("ha", "hb")]
-    other = F.lit(0)
-    for c in SKETCH:
-        d = F.col(f"{c}ha").bitwiseXOR(F.col(f"{c}hb"))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        other = other + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111)))
-    small = F.least("nha", "nhb") < F.lit(SMALL)
-    return pairs.join(ends[0], "ha").join(ends[1], "hb").filter(small | (64 - other >= AGREE)).select("ha", "hb").distinct()
-
-
 def classes(records: DataFrame) -> DataFrame:
     """``(id, key, h, text)`` of ``records(id, title, content)`` that have a word: text in words, and its 128 bits."""
 
@@ -506,7 +438,7 @@ def similar_classes(texts: DataFrame, share: float = SHARE, exhaustive: bool = F
     noise = float(LEVELS[counts].mean())
     sigs = signatures(texts, counts, max(BLOCK, int(4 * noise)), max(FEW, 2 * noise), share, exhaustive)
     pairs = materialize(candidates(sigs), "pairs")
-    return verified(pairs, with_sketches(only_paired(texts.select("h", "key", "text"), pairs)), share)
+    return verified(pairs, only_paired(texts.select("h", "key", "text"), pairs), share)
 
 
 def near_pairs(records: DataFrame, share: float = SHARE, exhaustive: bool = False) -> DataFrame:
