@@ -1,9 +1,10 @@
 """Problem 4: duplicates hidden by formatting differences.
 
-Byte-identical raw rows are collapsed first, with their counts, by a map-side combined
-aggregation; only the distinct survivors are canonicalised; they are grouped again on the
-full canonical text (by its 128-bit digest, so that the shuffle carries no text), and the
-counts are summed. Pairs of ids come from ``pairs_within``, which splits hot groups.
+Byte-identical raw rows are collapsed first, whatever their ids, with their counts, by a map-side
+combined aggregation; only the distinct survivors are canonicalised, each once, and carried on
+as the 128-bit digest of the full canonical text; the ids, which travel beside as (digest of the raw row,
+id, count), are joined to them, and grouped again with the counts summed. Each distinct raw text
+is shuffled once, in the first step; no other step carries text. Pairs of ids come from ``pairs_within``, which splits hot groups.
 
 Null columns count as blank, so a row with nothing but blanks has the blank canonical form and
 is a copy of other such rows. Repeated rows of one id are one record in the pairs, and count as
@@ -24,16 +25,24 @@ from lodestone.session import table
 Canon = Callable[[], list[Column]]
 
 
-def members(df: DataFrame, ident: str, raw: list[str], canon: list[Column]) -> DataFrame:
-    """``(key, id, n)``: the canonical key of each id, and the number of its raw rows."""
-    rows = df.groupBy(F.col(ident).alias("id"), *[F.col(c) for c in raw]).agg(F.count(F.lit(1)).alias("n"))
-    return rows.select(digest(*canon).alias("key"), "id", "n").filter("key is not null")
+def survivors(df: DataFrame, raw: list[str]) -> DataFrame:
+    """``(d, raw..., n)``: the distinct raw rows by their bytes, their digest and how often they stand."""
+    return df.groupBy(*[F.col(c) for c in raw]).agg(F.count(F.lit(1)).alias("n")).withColumn("d", digest(*[F.col(c) for c in raw]))
+
+
+def members(df: DataFrame, ident: str, raw: list[str], canon: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(key, id, n)``: the canonical key of each id, and the number of its raw rows.
+
+    ``canon`` makes ``(d, key)`` of the survivors; those that it leaves out belong to no record.
+    """
+    keys = canon(survivors(df, raw)).select("d", "key")
+    ids = df.select(F.col(ident).alias("id"), digest(*[F.col(c) for c in raw]).alias("d")).groupBy("d", "id").agg(F.count(F.lit(1)).alias("n"))
+    return ids.join(keys, "d").select("key", "id", "n").groupBy("key", "id").agg(F.sum("n").alias("n"))
 
 
 def copies(m: DataFrame) -> DataFrame:
     """One row for each canonical record: the id that stands for it, its ids and its rows."""
-    each = m.groupBy("key", "id").agg(F.sum("n").alias("n"))
-    return each.groupBy("key").agg(F.min("id").alias("rep_id"), F.count("id").alias("n_ids"), F.sum("n").alias("n_rows"))
+    return m.groupBy("key").agg(F.min("id").alias("rep_id"), F.count("id").alias("n_ids"), F.sum("n").alias("n_rows"))
 
 
 def answer_set(c: str) -> Column:
@@ -45,19 +54,22 @@ def answer_set(c: str) -> Column:
 def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     s = table(spark, d, "sections").filter(~F.coalesce("deleted", F.lit(False)))
     q = table(spark, d, "queries")
-    shape = "query string, answers array<string>, _bad string"
-    options = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad"}
     r = table(spark, d, "raw_records")
-    # Byte-identical payloads are collapsed before they are parsed.
-    r = r.groupBy(F.col("raw_id").alias("id"), "payload").agg(F.count(F.lit(1)).alias("n"))
-    r = r.select("id", "n", F.from_json("payload", shape, options).alias("p")).filter("p is not null and p._bad is null and p.query is not null")
+    forms = lambda *cols: lambda x: x.select("d", digest(*cols).alias("key"))
     return {
-        "sections": members(s, "id", ["title", "content"], [bare(F.col("title")), bare(F.col("content"))]),
-        "queries": members(q, "id", ["query", "answers"], [bare(F.col("query")), answer_set("answers")]),
-        "raw_records": r.select(digest(bare(F.col("p.query")), answer_set("p.answers")).alias("key"), "id", "n"),
+        "sections": members(s, "id", ["title", "content"], forms(bare(F.col("title")), bare(F.col("content")))),
+        "queries": members(q, "id", ["query", "answers"], forms(bare(F.col("query")), answer_set("answers"))),
+        "raw_records": members(r, "raw_id", ["payload"], _parsed),
     }
 
 
+def _parsed(x: DataFrame) -> DataFrame:
+    """Payloads that are JSON objects with a query."""
+    options = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad"}
+    p = x.select("d", F.from_json("payload", "query string, answers array<string>, _bad string", options).alias("p")).filter("p is not null and p._bad is null and p.query is not null")
+    return p.select("d", digest(bare(F.col("p.query")), answer_set("p.answers")).alias("key"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of ids of one table whose records are the same but for formatting."""
     every = None

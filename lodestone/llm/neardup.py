@@ -48,7 +48,7 @@ PARTITIONS = 20
 #: Sum of (t + 1) over a text's partitions.
 BUDGET = 14
 #: Chance that a pair of the least share whose edits are spread evenly is missed.
-MISS = 0.005
+MISS = 0.0125
 #: Anchors of the exhaustive way: all runs.
 EVERY_RUN = 1 << 30
 #: Words before an anchor's run and after it that belong to its partition.

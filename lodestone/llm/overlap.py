@@ -8,9 +8,10 @@ hash. Evaluation and training records are joined on the answers' fingerprints; w
 frequent on both sides, on the pair of it and a word of the query's prefix: of its distinct words,
 the rarest first, so many that two queries with a share of ``SHARE`` have one of them in common.
 So a frequent answer alone brings no records together and no pair is lost, and the rest meets in
-blocks. The query's fingerprints that a candidate pair has in common are chained where they are collinear, the chain is extended by
-alignment at both ends and between its seeds, and the covered part of either query is
-reported. An exact check of the definition follows.
+blocks. The fingerprints that two answers of a candidate pair have in common are chained where they are collinear and
+the chain is extended; only a pair with an answer that it covers wholly on both sides is kept. Likewise the queries'
+fingerprints are chained, extended by alignment at both ends and between the seeds, and the covered part of either
+query is reported. The share of the queries' words is checked exactly.
 
 Queries too short for a fingerprint (fewer than ``GRAM`` bare characters) are one fingerprint as
 a whole. Null queries, null, empty and blank answers and answers of fewer than ten bare
@@ -19,6 +20,7 @@ characters bring no pair. Repeated rows of an id are one record. An empty table
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -117,31 +119,32 @@ def _rolled(texts: list[str], lens: np.ndarray, gram: int) -> tuple[np.ndarray,
 
 def chain(seeds: list[tuple[int, int]], gram: int = GRAM) -> list[tuple[int, int]]:
     """The longest chain of seeds ``(place in a, place in b)`` that rise in both."""
-    seeds = sorted(set(seeds))
-    best: list[int] = []
-    back: list[int] = []
-    for i, (x, y) in enumerate(seeds):
-        n, p = 1, -1
-        for j in range(i - 1, max(-1, i - 60), -1):
-            if seeds[j][0] < x and seeds[j][1] < y and best[j] + 1 > n:
-                n, p = best[j] + 1, j
-        best.append(n)
-        back.append(p)
-    if not best:
-        return []
-    i = max(range(len(best)), key=lambda k: best[k])
+    seeds = sorted(set(seeds), key=lambda z: (z[0], -z[1]))
+    ends: list[int] = []  # smallest last place in b of the chains of each length
+    at: list[int] = []
+    back = [-1] * len(seeds)
+    for i, (_, y) in enumerate(seeds):
+        k = bisect.bisect_left(ends, y)
+        if k:
+            back[i] = at[k - 1]
+        if k == len(ends):
+            ends.append(y)
+            at.append(i)
+        else:
+            ends[k], at[k] = y, i
     out = []
+    i = at[-1] if at else -1
     while i >= 0:
         out.append(seeds[i])
         i = back[i]
     return out[::-1]
 
 
-def aligned(a: str, b: str, seeds: list[tuple[int, int]], gram: int = GRAM, band: int = 24) -> tuple[int, int]:
+def aligned(a: str, b: str, seeds: list[tuple[int, int]], gram: int = GRAM) -> tuple[int, int]:
     """Characters of ``a`` and of ``b`` that the chain covers once it is extended by alignment.
 
     Seeds are widened as far as the texts agree; gaps between neighbours, and what is before the
-    first and after the last, are aligned with a band, matches only.
+    first and after the last, are aligned by their longest common subsequence.
     """
     links = chain(seeds, gram)
     if not links:
@@ -164,24 +167,23 @@ def aligned(a: str, b: str, seeds: list[tuple[int, int]], gram: int = GRAM, band
     edges = [(0, 0), *((x + n, y + n) for x, y, n in spans)]
     nexts = [*((x, y) for x, y, _ in spans), (len(a), len(b))]
     for (x0, y0), (x1, y1) in zip(edges, nexts):
-        covered += _common(a[x0:x1], b[y0:y1], band)
+        covered += _common(a[x0:x1], b[y0:y1])
     return min(covered, len(a)), min(covered, len(b))
 
 
-def _common(a: str, b: str, band: int) -> int:
-    """Length of a common subsequence within a band around the diagonal; 0 for an empty side."""
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, with the places of ``a`` as the bits of one number."""
     if not a or not b:
         return 0
-    row: dict[int, int] = {}
-    shift = len(b) - len(a)
-    lo_s, hi_s = min(0, shift) - band, max(0, shift) + band
+    masks: dict[str, int] = {}
     for i, c in enumerate(a):
-        now: dict[int, int] = {}
-        for j in range(max(0, i + lo_s), min(len(b), i + hi_s + 1)):
-            v = row.get(j - 1, 0) + 1 if b[j] == c else max(row.get(j, 0), now.get(j - 1, 0))
-            now[j] = v
-        row = now
-    return max(row.values(), default=0)
+        masks[c] = masks.get(c, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    v = every
+    for c in b:
+        u = v & masks.get(c, 0)
+        v = ((v + u) | (v - u)) & every
+    return len(a) - v.bit_count()
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
@@ -247,11 +249,14 @@ def with_query_words(df: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def _crossed(s: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs ``(ev, tr)`` under common seeds; a frequent seed's training side is cut into blocks, which the evaluation rows visit."""
-    j = s.join(sizes.select("seed", F.expr(f"cast(ceil(nt / {BLOCK}) as int)").alias("bt")), "seed")
-    tr = j.filter("train").select("seed", F.col("id").alias("tr"), F.expr("cast(pmod(xxhash64(id), bt) as int)").alias("b"))
-    ev = j.filter("not train").select("seed", F.col("id").alias("ev"), F.expr("explode(sequence(0, bt - 1))").alias("b"))
-    return ev.join(tr, ["seed", "b"]).filter("ev <> tr").select("ev", "tr")
+    """Pairs ``(ev, tr)`` under common seeds; both sides of a frequent seed are cut into blocks, and each two blocks meet under a key of their own."""
+    blocks = lambda n: F.expr(f"cast(ceil({n} / {BLOCK}) as int)")
+    j = s.join(sizes.select("seed", blocks("nt").alias("bt"), blocks("ne").alias("be")), "seed")
+    own = lambda n: F.expr(f"cast(pmod(xxhash64(id), {n}) as int)")
+    every = lambda n: F.expr(f"explode(sequence(0, {n} - 1))")
+    tr = j.filter("train").select("seed", F.col("id").alias("tr"), own("bt").alias("p"), every("be").alias("q"))
+    ev = j.filter("not train").select("seed", F.col("id").alias("ev"), every("bt").alias("p"), own("be").alias("q"))
+    return ev.join(tr, ["seed", "p", "q"]).filter("ev <> tr").select("ev", "tr")
 
 
 def _both(s: DataFrame) -> DataFrame:
@@ -292,19 +297,23 @@ def overlaps(spark: SparkSession, d: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             qe, ae, qt, at = (b.column(i).to_pylist() for i in range(4, 8))
-            xs, ys = [bare_text(x) for x in qe], [bare_text(y) for y in qt]
-            sh, same = [], []
-            for i in range(len(xs)):
-                p, q = set(words(qe[i])), set(words(qt[i]))
+            sh = []
+            for x, y in zip(qe, qt):
+                p, q = set(words(x)), set(words(y))
                 sh.append(len(p & q) / len(p | q) if p | q else 0.0)
-                f = {z for z in map(bare_text, ae[i] or ()) if len(z) >= LEAST} if sh[i] >= SHARE - 1e-12 else ()
-                same.append(any(z in f for z in map(bare_text, at[i] or ())) if f else False)
-            ce, ct = [0.0] * len(xs), [0.0] * len(xs)
-            found = [i for i, z in enumerate(same) if z]  # only these are aligned
-            fx, fy = _by_owner([xs[i] for i in found]), _by_owner([ys[i] for i in found])
-            for k, i in enumerate(found):
-                x, y = xs[i], ys[i]
-                m, n = (len(x), len(y)) if x == y else aligned(x, y, [(p, q) for h, p in fx[k].items() if (q := fy[k].get(h)) is not None])
+            likely = [i for i, z in enumerate(sh) if z >= SHARE - 1e-12]
+            # One call each: the answers of all likely pairs, then the queries of those with a common answer.
+            sides = [[[z for z in map(bare_text, a[i] or ()) if len(z) >= LEAST] for i in likely] for a in (ae, at)]
+            marks = [iter(_places([z for zs in side for z in zs])) for side in sides]
+            same = [False] * len(sh)
+            for i, fs, gs in zip(likely, *sides):
+                pf, pg = ([next(m) for _ in zs] for zs, m in zip((fs, gs), marks))
+                same[i] = any(whole(f, g, u, v) for f, u in zip(fs, pf) for g, v in zip(gs, pg))
+            found = [i for i, z in enumerate(same) if z]
+            xs, ys = ([bare_text(q[i]) for i in found] for q in (qe, qt))
+            ce, ct = [0.0] * len(sh), [0.0] * len(sh)
+            for i, x, y, u, v in zip(found, xs, ys, _places(xs), _places(ys)):
+                m, n = (len(x), len(y)) if x == y else aligned(x, y, _seeds(u, v))
                 ce[i] = m / len(x) if x else 0.0
                 ct[i] = n / len(y) if y else 0.0
             yield pa.RecordBatch.from_arrays(
@@ -316,6 +325,29 @@ def overlaps(spark: SparkSession, d: str) -> DataFrame:
     return j.select("ev", "tr", "split", "source_name", "qe", "ae", "qt", "at").mapInArrow(run, shape)
 
 
+def _places(texts: list[str]) -> list[dict[int, list[int]]]:
+    """For each text the places of each of its fingerprints; of a run of the same fingerprint, as in a text that repeats itself, the first."""
+    out: list[dict[int, list[int]]] = [{} for _ in texts]
+    last = (-1, 0)
+    owner, place, h = winnow(texts)
+    order = np.lexsort((place, owner))
+    for o, p, x in zip(owner[order].tolist(), place[order].tolist(), h[order].tolist()):
+        if (o, x) != last:
+            out[o].setdefault(x, []).append(p)
+        last = (o, x)
+    return out
+
+
+def _seeds(a: dict[int, list[int]], b: dict[int, list[int]]) -> list[tuple[int, int]]:
+    return [(p, q) for h, ps in a.items() for p in ps for q in b.get(h, ())]
+
+
+def whole(f: str, g: str, fs: dict[int, list[int]], gs: dict[int, list[int]]) -> bool:
+    """Whether the extended chain of the fingerprints that two answers have in common covers both wholly, without a gap."""
+    links = chain(_seeds(fs, gs)) if len(f) == len(g) else []
+    return bool(links) and links[0][0] == links[0][1] and aligned(f, g, links[:1]) == (len(f), len(g)) and f == g
+
+
 def _by_owner(texts: list[str]) -> list[dict[int, int]]:
     """For each text the place of each of its fingerprints."""
     out: list[dict[int, int]] = [{} for _ in texts]
@@ -339,7 +371,12 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return best.groupBy("split", "source_name").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n").alias("n_pairs"), F.round(F.avg("cover"), 6).alias("mean_coverage"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report}
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Per split and source of the evaluation record: records that overlap, and pairs."""
+    return p1_report(spark, d).select("split", "source_name", "n_records", "n_pairs")
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_counts": p1_counts}
 
 _BARE = "regexp_replace(lower(coalesce({}, '')), '[^\\pL\\pN]+', '', 'g')"
 SQL = {
@@ -349,4 +386,11 @@ SQL = {
             FROM r, unnest(answers) AS u(a) WHERE length({_BARE.format('u.a')}) >= {LEAST})
       SELECT DISTINCT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM a x JOIN a y ON x.b = y.b AND x.tr AND NOT y.tr AND x.id <> y.id
       WHERE len(list_intersect(x.ws, y.ws)) >= 0.6 * (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws))) AND len(x.ws) > 0""",
+    "p1_counts": f"""
+      WITH r AS (SELECT DISTINCT id, query, answers, split, source_name FROM queries),
+      a AS (SELECT DISTINCT id, split, source_name, {_BARE.format('u.a')} AS b, list_distinct(list_filter(regexp_split_to_array(lower(query), '[^\\pL\\pN]+'), lambda w: w <> '')) AS ws
+            FROM r, unnest(answers) AS u(a) WHERE length({_BARE.format('u.a')}) >= {LEAST}),
+      p AS (SELECT DISTINCT y.split, y.source_name, y.id AS ev, x.id AS tr FROM a x JOIN a y ON x.b = y.b AND x.split = 'train' AND y.split <> 'train' AND x.id <> y.id
+            WHERE len(list_intersect(x.ws, y.ws)) >= 0.6 * (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws))) AND len(x.ws) > 0)
+      SELECT split, source_name, count(DISTINCT ev) AS n_records, count(*) AS n_pairs FROM p GROUP BY 1, 2""",
 }

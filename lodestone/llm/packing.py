@@ -31,7 +31,7 @@ from lodestone.session import materialize, table
 #: Units into which a capacity is divided for the combinations.
 WINDOW = 128
 #: Parts of the solved repeats that are tried.
-PARTS = (1.0, 0.75, 0.5, 0.25, 0.0)
+PARTS = (1.0, 0.75, 0.5, 0.25)
 #: Items of a size that one task numbers, about.
 NUMBERED = 200_000
 
@@ -148,13 +148,24 @@ def _combinations(units: int) -> list[tuple[int, ...]]:
 def plan(histogram: np.ndarray, capacity: int, window: int = WINDOW) -> Plan:
     """Containers for ``histogram[s]`` items of size s, 0 <= s <= capacity.
 
-    The solved repeats are used in full, or in part, so that more is left for the greedy filling of
+    The repeats are solved for once, and used in full or in part, so that more is left for the greedy filling of
     the space that sizes rounded up to units waste: whichever takes the fewest containers.
     """
-    return min((_plan(histogram, capacity, window, part) for part in PARTS), key=lambda p: p.containers)
-
-
-def _plan(histogram: np.ndarray, capacity: int, window: int, share: float) -> Plan:
+    units = min(window, capacity)
+    unit_of = np.minimum(-(-np.arange(capacity + 1) * units // capacity), units)
+    counts = np.bincount(unit_of[1:], weights=histogram[1:], minlength=units + 1)[1:]
+    combos = [c for c in _combinations(units) if all(counts[q - 1] for q in c)]
+    repeats = np.zeros(len(combos))
+    if combos:
+        a = np.zeros((units, len(combos)))
+        for j, c in enumerate(combos):
+            for q in c:
+                a[q - 1, j] += 1
+        repeats = nnls(a, counts)
+    return min((_plan(histogram, capacity, unit_of, combos, part * repeats) for part in PARTS), key=lambda p: p.containers)
+
+
+def _plan(histogram: np.ndarray, capacity: int, unit_of: np.ndarray, combos: list, repeats: np.ndarray) -> Plan:
     left = histogram.astype(np.int64).copy()
     taken = np.zeros(capacity + 1, dtype=np.int64)
     out = Plan()
@@ -166,32 +177,23 @@ def _plan(histogram: np.ndarray, capacity: int, window: int, share: float) -> Pl
 
     if left[0]:
         take(0, int(left[0]), 0, 0, 1 << 62)
-    units = min(window, capacity)
-    unit_of = np.minimum(-(-np.arange(capacity + 1) * units // capacity), units)
-    counts = np.bincount(unit_of, weights=left, minlength=units + 1)[1:]
-    if counts.sum():
-        combos = [c for c in _combinations(units) if all(counts[q - 1] for q in c)]
-        if combos and share:
-            a = np.zeros((units, len(combos)))
-            for j, c in enumerate(combos):
-                for q in c:
-                    a[q - 1, j] += 1
-            x = np.floor(share * nnls(a, counts) + 1e-6).astype(np.int64)
-            sizes = [[s for s in range(capacity, 0, -1) if unit_of[s] == q] for q in range(units + 1)]
-            for j in np.argsort(-x, kind="stable"):
-                c = combos[j]
-                need = {q: c.count(q) for q in c}
-                times = min([int(x[j]), *(int(sum(left[s] for s in sizes[q])) // k for q, k in need.items())])
-                if times <= 0:
-                    continue
-                for q, k in need.items():
-                    skip = 0
-                    for s in sizes[q]:
-                        n = int(min(left[s], times * k - skip))
-                        if n:
-                            take(s, n, out.containers, skip, k)
-                            skip += n
-                out.containers += times
+    if combos:
+        x = np.floor(repeats + 1e-6).astype(np.int64)
+        sizes = [[s for s in range(capacity, 0, -1) if unit_of[s] == q] for q in range(int(unit_of[-1]) + 1)]
+        for j in np.argsort(-x, kind="stable"):
+            c = combos[j]
+            need = {q: c.count(q) for q in c}
+            times = min([int(x[j]), *(int(sum(left[s] for s in sizes[q])) // k for q, k in need.items())])
+            if times <= 0:
+                continue
+            for q, k in need.items():
+                skip = 0
+                for s in sizes[q]:
+                    n = int(min(left[s], times * k - skip))
+                    if n:
+                        take(s, n, out.containers, skip, k)
+                        skip += n
+            out.containers += times
     # What is left: the largest size, then again the largest that fits; as often as the sizes last.
     there = [s for s in range(1, capacity + 1) if left[s]]
     while there:
@@ -234,7 +236,7 @@ def pack(items: DataFrame, capacities: dict[int, int]) -> DataFrame:
     split = split.select("group", "id", "cap", F.expr("case when size > cap then (size - 1) div cap else 0 end").alias("full"), "size")
     split = split.withColumn("rest", F.col("size") - F.col("full") * F.col("cap"))
     total = max(1, split.count())
-    salts = int(min(4096, max(16, total // NUMBERED)))
+    salts = int(max(16, total // NUMBERED))
     rows = split.withColumn("salt", F.pmod(F.xxhash64("id", "group"), F.lit(salts)).cast("int"))
     # Counts by (group, size, salt) with map-side aggregation; their running sums number the items.
     counts = rows.groupBy("group", "rest", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("n_full"))
@@ -301,5 +303,18 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packed.select(F.col("group").alias("budget_id"), F.col("id").alias("doc_id"), "part", "n_tokens", "container")
 
 
-QUERIES = {"p7_containers": p7_containers}
-SQL: dict[str, str] = {}
+def p7_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Per budget: documents placed, containers over their capacity, documents divided though they fit, and whether the containers are within 1 % of the lower bound."""
+    packed = materialize(p7_containers(spark, d), "containers")
+    budgets = table(spark, d, "budgets").select("budget_id", "max_tokens")
+    loads = packed.groupBy("budget_id", "container").agg(F.sum("n_tokens").alias("load")).join(F.broadcast(budgets), "budget_id")
+    boxes = loads.groupBy("budget_id").agg(F.count_if(F.col("load") > F.col("max_tokens")).alias("n_overfull"), F.count(F.lit(1)).alias("n"), F.sum("load").alias("t"), F.first("max_tokens").alias("m"))
+    docs = packed.groupBy("budget_id", "doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("n_tokens").alias("t")).join(F.broadcast(budgets), "budget_id")
+    docs = docs.groupBy("budget_id").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if((F.col("parts") > 1) & (F.col("t") <= F.col("max_tokens"))).alias("n_divided"))
+    close = F.col("n") <= F.ceil(F.col("t") / F.col("m")) * 1.01 + 1
+    return boxes.join(docs, "budget_id").select("budget_id", "n_docs", "n_overfull", "n_divided", close.alias("near_bound"))
+
+
+QUERIES = {"p7_containers": p7_containers, "p7_valid": p7_valid}
+#: What must hold of any packing, as rows.
+SQL = {"p7_valid": "SELECT budget_id, (SELECT count(*) FROM documents) AS n_docs, 0::BIGINT AS n_overfull, 0::BIGINT AS n_divided, true AS near_bound FROM budgets"}
