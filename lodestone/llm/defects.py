@@ -3,7 +3,8 @@
 Each pair gets at most one defect, tested in this order:
 
 * ``empty``: null, no letter or digit at all, or a placeholder for a missing value.
-* ``refusal``: an automaton over the phrases of ``REFUSALS`` reads the response; what is left
+* ``refusal``: an automaton over the phrases of ``REFUSALS`` reads the response, and another over classes of words,
+  which takes a sentence where the answerer, a denial and an act of answering meet; what is left
   without the sentences that it hits and closing courtesies must be next to nothing.
 * ``copy``: the response is read through a suffix automaton of the prompt's words; the runs of
   two or more words that it finds must cover nearly all of the response, and of the prompt
@@ -260,13 +261,53 @@ def sentences(text: str) -> list[str]:
     return [s for s in ENDS.split(text.strip()) if s and s.strip()]
 
 
+# Words of the answerer, of a denial, and of acts of answering, by language.
+ANSWERER = {"en": "i we me my us assistant", "de": "ich wir mir mich uns", "fr": "je j me m nous", "es": "yo me mi nosotros puedo debo tengo prefiero lamento siento voy podemos"}
+DENIAL = {
+    "en": "not t cannot unable never nothing no unanswered refuse decline refrain avoid pass", "de": "nicht kein keine keinen keinerlei nichts unmöglich ablehnen verweigern unbeantwortet",
+    "fr": "pas aucune aucun rien jamais impossible refuser refuse décliner décline réponse", "es": "no nada nunca ninguna ningún imposible rechazar negar declinar",
+}
+ACT = {
+    "en": "answer answering respond responding response reply replying help assist provide share discuss discussing comment say tell address advise speak talk into unanswered question questions request topic information access",
+    "de": "beantworten antworten antwort helfen auskunft sagen äußern mitteilen weiterhelfen information informationen zugriff eingehen frage unbeantwortet anfrage",
+    "fr": "répondre réponse aider fournir dire discuter commenter information informations accès question aborder parler demande", "es": "responder contestar respuesta ayudar decir proporcionar hablar comentar información acceso pregunta solicitud",
+}
+#: Of each word, by language, the classes that it has: 1 for the answerer, 2 for a denial, 4 for an act.
+CLASSES: dict[str, dict[str, int]] = {}
+for _bit, _of in ((1, ANSWERER), (2, DENIAL), (4, ACT)):
+    for _k, _v in _of.items():
+        for _w in _v.split():
+            CLASSES.setdefault(_w, {})[_k] = CLASSES.get(_w, {}).get(_k, 0) | _bit
+#: Words of the longest sentence that the automaton of classes takes.
+SAID = 30
+
+
+def declines(sw: list[str]) -> bool:
+    """Whether a sentence's words bring the automaton of classes, whose state is the set of classes met, to its end in one language."""
+    if len(sw) > SAID:
+        return False
+    state = dict.fromkeys(ANSWERER, 0)
+    for w in sw:
+        for k, bits in CLASSES.get(w, {}).items():
+            state[k] |= bits
+    return 7 in state.values()
+
+
+def _refuses(s: str, sw: list[str]) -> bool:
+    return REFUSAL.found(sw) or declines(sw) or REFUSAL_CJK.search(s) is not None
+
+
 def is_refusal(response: str, ws: list[str]) -> bool:
-    if not (REFUSAL.found(ws) or REFUSAL_CJK.search(response)):
+    met = dict.fromkeys(ANSWERER, 0)
+    for w in ws:
+        for k, bits in CLASSES.get(w, {}).items():
+            met[k] |= bits
+    if not (REFUSAL.found(ws) or REFUSAL_CJK.search(response) or (7 in met.values() and any(declines(words(x)) for x in sentences(response)))):
         return False
     rest = 0
     for s in sentences(response):
         sw = words(s)
-        if not (REFUSAL.found(sw) or REFUSAL_CJK.search(s) or COURTESY.search(s)):
+        if not (_refuses(s, sw) or COURTESY.search(s)):
             rest += len(sw)
     return rest <= 6
 

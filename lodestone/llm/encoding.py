@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.session import table
 
@@ -168,5 +169,23 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
-QUERIES = {"p6_ids": p6_ids}
-SQL: dict[str, str] = {}
+def decode_column(df: DataFrame, ident: str, ids: str, path: str, out: str = "text") -> DataFrame:
+    """``(ident, text)``: the texts of lists of ids."""
+    kind = df.schema[ident].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = loaded(path).model
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=[ident, out])
+
+    return df.select(ident, ids).mapInArrow(run, f"`{ident}` {kind}, {out} string")
+
+
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's text as its ids give it back, by its digest."""
+    back = decode_column(p6_ids(spark, d), "doc_id", "ids", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return back.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
+SQL = {"p6_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest, length(coalesce(text, '')) AS n_chars FROM documents"}

@@ -31,7 +31,7 @@ from lodestone.session import materialize, table
 #: Units into which a capacity is divided for the combinations.
 WINDOW = 128
 #: Parts of the solved repeats that are tried.
-PARTS = (1.0, 0.75, 0.5, 0.25)
+PARTS = (1.0, 0.75, 0.5, 0.25, 0.1, 0.05)
 #: Items of a size that one task numbers, about.
 NUMBERED = 200_000
 

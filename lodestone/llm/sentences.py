@@ -7,7 +7,7 @@ maximum-entropy (logistic) model with features of the tokens on either side: the
 its class (initial, digits by their number, with dots inside, kind of abbreviation), length, case,
 script, and what follows. It is trained here on reliable boundaries: stops at the end of a
 paragraph with the first token of another one, against stops after titles and before numbers of
-references, before small letters after an abbreviation, and before other punctuation. The
+references, before small letters after an abbreviation or a short token that the sample never has without its stop, and before other punctuation. The
 sample of documents it is fitted on is bounded by ``SAMPLE``; every text is split as a whole.
 
 Null, empty and blank texts, and texts without a letter or digit, have no units. Offsets
@@ -33,8 +33,8 @@ from lodestone.session import table
 #: Documents on which the model is fitted, at most.
 SAMPLE = 1500
 SIZE = 1 << 16
-#: A quotation or bracket whose end is farther away than this many characters isn't followed.
-FAR = 600
+#: A reporting verb stands among so many words behind a quotation, or twice as many letters of a script without spaces.
+REPORTED_WITHIN = 16
 
 # Abbreviations that stand before a name, before a number, and that may stand last.
 TITLES = frozenset(
@@ -64,35 +64,63 @@ STRONG = frozenset("!?。！？؟।॥｡")
 EVENT = re.compile(r"(?P<term>[.!?…。！？؟।॥｡]+)|(?P<delim>[()\[\]{}（）［］【】“”„«»「」『』《》\"])|(?P<thai>(?<=[฀-๿])\s+(?=[฀-๿]))")
 BLANK = re.compile(r"\r?\n(?:[^\S\n]*\n)+")
 ITEM = re.compile(r"[^\S\n]*(?:[-*•‣◦–—·▪●○■□➤+]|\(?\d{1,3}[.)]|[٠-٩०-९๐-๙]{1,3}[.)])[^\S\n]+\S")
-BEFORE = re.compile(r"[^\s()\[\]{}\"“”„«»‘¿¡（）「」『』,;:/–—]*$")
+BREAKS = frozenset("()[]{}\"“”„«»‘¿¡（）「」『』,;:/–—")
 AFTER = re.compile(r"(\s*)([(\[{\"“„«‘'¿¡（「『—–*_\s]*)([^\W_]*)(.?)", re.S)
+NEXT = re.compile(r"\s*")
+CLAUSE_END = re.compile(r"[.!?。！？؟।…]")
+CLAUSE_WORDS = re.compile(rf"(?:\s*\S+){{0,{REPORTED_WITHIN}}}")
+CLAUSE_LETTERS = re.compile(rf"(?:\W*\w){{0,{2 * REPORTED_WITHIN}}}")
+SAYS = frozenset("说說问問道写寫喊答")
 ALNUM = re.compile(r"[^\W_]")
 CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 
 
-NUMERAL = re.compile(r"\d[\d.,\u00a0\u202f']*$")
-PRIOR = re.compile(r"([^\W\d_]+)[^\w]*$")
 #: Words before an ordinal.
 ORDINAL = frozenset("die der das dem den des am vom zum zur im ein eine einer einem einen jede jeder jeden und bis".split())
 
 
-def token_before(text: str, start: int, at: int) -> str:
+def token_start(text: str, start: int, at: int, kept: list[int]) -> int:
+    """Where the token that ends before ``at`` begins. ``kept`` has the last stop asked for and its token's start, so that a token full of stops is walked through once."""
+    i = at
+    while i > start and text[i - 1] not in BREAKS and not text[i - 1].isspace():
+        i -= 1
+        if i == kept[0] and kept[1] >= start:
+            i = kept[1]
+            break
+    kept[:] = at, i
+    return i
+
+
+def token_before(text: str, start: int, at: int, kept: list[int] | None = None) -> str:
     """The token that a stop at ``at`` stands behind; of a short number, with the word before it."""
-    token = BEFORE.search(text, max(start, at - 24), at).group()
+    token = text[token_start(text, start, at, kept if kept is not None else [-1, -1]) : at]
     if token and not token.isascii():
         token = CJK.sub(" ", token).rpartition(" ")[2]
     for mark in "'’":
         token = token.rpartition(mark)[2] or token
     if token.isdigit():
-        whole = NUMERAL.search(text, max(start, at - 24), at).group()
-        if whole != token:
-            return whole
+        i = at - len(token)
+        while i > start and (text[i - 1].isdigit() or text[i - 1] in ".,\u00a0\u202f'"):
+            i -= 1
+        while not text[i].isdigit():
+            i += 1
+        if at - i > len(token):
+            return text[i:at]
         if len(token) < 3:
-            prior = PRIOR.search(text, max(start, at - 24), at - len(token))
-            return f"{prior.group(1).lower()} {token}" if prior else token
+            j = at - len(token)
+            while j > start and not text[j - 1].isalnum() and text[j - 1] != "_":
+                j -= 1
+            i = j
+            while i > start and text[i - 1].isalpha():
+                i -= 1
+            return f"{text[i:j].lower()} {token}" if i < j else token
+        return token
     return token if ALNUM.search(token) else ""
 
 
+VOWELS = frozenset("aeiouyäöüáéíóúàèêâîôûëïаеёиоуыэюя")
+
+
 def _class_before(token: str) -> str:
     low = token.lower()
     if not token:
@@ -109,6 +137,8 @@ def _class_before(token: str) -> str:
         return "reference"
     if bare in LAST:
         return "last"
+    if 2 <= len(token) <= 4 and token[0].isupper() and token[1:].islower() and not VOWELS & set(low):
+        return "title"  # letters cut out of a word, such as Pvt
     if len(token) == 1:
         return "initial" if token.isupper() or not (token.isupper() or token.islower()) else "letter"
     if "." in token:
@@ -126,6 +156,8 @@ def _class_after(gap: str, opened: str, word: str, then: str) -> str:
     c = word[0]
     if c.isdigit():
         return "digit"
+    if then == "." and word.lower() in LAST:
+        return "abbreviation"
     if c.isupper() or c.istitle():
         return "upper" if len(word) > 1 or then != "." else "capital."
     if c.islower():
@@ -141,20 +173,21 @@ class BoundaryModel:
         self.bias = 0.0
         self.starters: dict[str, int] = {}
         self.abbreviations: frozenset[str] = frozenset()
+        self.words: frozenset[str] = frozenset()
         self.kept: dict[tuple, bool] = {}
 
     def __getstate__(self):
-        return (self.weights, self.bias, self.starters, self.abbreviations)
+        return (self.weights, self.bias, self.starters, self.abbreviations, self.words)
 
     def __setstate__(self, state):
-        self.weights, self.bias, self.starters, self.abbreviations = state
+        self.weights, self.bias, self.starters, self.abbreviations, self.words = state
         self.kept = {}
 
     def features(self, mark: str, before: str, gap: str, opened: str, word: str, then: str) -> list[int]:
         b, a = _class_before(before), _class_after(gap, opened, word, then)
-        low, nxt = before.lower().partition(" ")[0][-12:], word.lower()[:12]
-        if b in ("word", "short") and low in self.abbreviations:
-            b = "seen"
+        low, nxt = before.lower().partition(" ")[0], word.lower()
+        if b in ("word", "short"):
+            b = "seen" if low in self.abbreviations else b if low in self.words or len(low) > 5 else "strange"
         s = self.starters.get(nxt, 0)
         e = "ellipsis" if len(mark) > 1 or mark == "…" else "stop"
         names = [
@@ -179,7 +212,7 @@ class BoundaryModel:
 
 def _inside_token(text: str, at: int, end: int, before: str) -> bool:
     """Whether a single stop with no space after it belongs to a number, version, name of a file or the like."""
-    m = re.compile(r"([^\W\d_]+)(\.?)(\S?)").match(text, at + 1, min(end, at + 40))
+    m = re.compile(r"([^\W\d_]+)(\.?)(\S?)").match(text, at + 1, end)
     if not m:
         # digits or signs follow: no end, but for a closing or opening mark, which the caller has seen
         return True
@@ -243,6 +276,8 @@ class Splitter:
         unit = start
         stack: list[tuple[str, bool]] = []  # what closes it, and whether it opened the unit
         skip = start
+        last = {w: text.rfind(w, start, end) for w in CLOSERS}
+        kept = [-1, -1]
         looked, said = start, False  # whether the unit so far has a letter or digit, as far as it was looked through
         for m in EVENT.finditer(text, start, end):
             at, stop = m.span()
@@ -272,8 +307,7 @@ class Splitter:
                 want = OPENERS.get(c)
                 if want is None:
                     continue
-                far = min(end, at + FAR)
-                if any(text.find(w, at + 1, far) >= 0 for w in want):
+                if any(last[w] > at for w in want):
                     if looked < unit:
                         looked, said = unit, False
                     said = said or ALNUM.search(text, looked, at) is not None
@@ -284,7 +318,7 @@ class Splitter:
                 continue
             mark = m.group()
             to = self._closing(text, stop, end)
-            if self._ends(text, at, stop, to, end, mark, unit):
+            if self._ends(text, at, stop, to, end, mark, unit, kept):
                 self._add(text, unit, to, out)
                 unit = skip = to
         self._add(text, unit, end, out)
@@ -299,44 +333,46 @@ class Splitter:
 
     def _ends_closed(self, text: str, at: int, stop: int, end: int, closer: str, first: bool, last: str, k: int, unit: int) -> bool:
         """Whether a unit ends after a quotation or bracket that a terminator stands last in."""
-        gap, opened, word, then = AFTER.match(text, stop, min(end, stop + 80)).groups()
-        rest = text[stop:end].lstrip()
-        if not rest:
+        gap, opened, word, then = AFTER.match(text, stop, end).groups()
+        begin = NEXT.match(text, stop, end).end()
+        if begin == end:
             return True
+        rest = text[begin : begin + 2]
         if rest[0] in ",;:.!?…、，；：。！？؟،؛।" or rest[0] in ")]}）」』" or (rest[0] in "—–-" and closer in "»”“\"」』"):
             return False
         cls = _class_after(gap, opened, word, then)
         if closer in ")]}）］】":
             return first
-        clause = re.split(r"[.!?。！？؟।…]", rest[:160], maxsplit=1)[0]
         if first:
             if cls == "lower":
                 return False
-            near = clause[:90] if not CJK.match(rest[0]) else clause[:24]
-            found = REPORTS.search(near)
+            stopped = CLAUSE_END.search(text, begin, end)
+            upto = stopped.start() if stopped else end
+            near = CLAUSE_WORDS.match(text, begin, upto) if not CJK.match(rest[0]) else CLAUSE_LETTERS.match(text, begin, upto)
+            found = REPORTS.search(near.group())
             if found and not opened.strip():
                 if CJK.match(rest[0]):
                     # the reporting verb stands at the clause's end
-                    return not (re.match(r"(?:と|って)", rest) or re.search(r"[说說问問道写寫喊答]$", clause.rstrip()))
+                    return not (rest.startswith(("と", "って")) or text[begin:upto].rstrip()[-1:] in SAYS)
                 return False
             return True
         if rest.startswith(("と", "って")):
             return False
         return cls != "lower"
 
-    def _ends(self, text: str, at: int, stop: int, to: int, end: int, mark: str, unit: int) -> bool:
+    def _ends(self, text: str, at: int, stop: int, to: int, end: int, mark: str, unit: int, kept: list[int]) -> bool:
         after = text[to : to + 1] if to < end else ""
         if any(c in STRONG for c in mark):
             return after not in ",;:，；：、)" or after == ""
-        gap, opened, word, then = AFTER.match(text, to, min(end, to + 60)).groups()
+        gap, opened, word, then = AFTER.match(text, to, end).groups()
         if not gap and not opened and not word and not then:
             return True  # the end of the block
-        if not text[to:end].strip():
+        if NEXT.match(text, to, end).end() == end:
             return True
         prev, nxt = text[at - 1 : at], (opened.strip() + word)[:1]
         if "฀" <= prev <= "๿" or "฀" <= (word[:1] or " ") <= "๿":
             return False
-        before = token_before(text, unit, at)
+        before = token_before(text, unit, at, kept)
         single = mark == "."
         if single and not gap and to == stop:
             if opened and opened.strip() and not opened.strip()[0] in "*_—–":
@@ -352,7 +388,7 @@ class Splitter:
         return self.model.ends("." if single else "…", before, gap, opened, word, then)
 
 
-def examples(text: str, rng: random.Random, starts: list[tuple[str, str, str]]) -> Iterator[tuple[tuple, int]]:
+def examples(text: str, rng: random.Random, starts: list[tuple[str, str, str]], plain: Counter | None = None) -> Iterator[tuple[tuple, int]]:
     """Reliable boundaries of a text, and reliable stops that are none, as arguments of ``features``."""
     for block in BLANK.split(text):
         if ITEM.match(block) or len(block) < 30:
@@ -371,7 +407,7 @@ def examples(text: str, rng: random.Random, starts: list[tuple[str, str, str]])
             at, stop = m.span()
             if stop >= len(core):
                 continue
-            gap, opened, word, then = AFTER.match(core, stop, stop + 60).groups()
+            gap, opened, word, then = AFTER.match(core, stop).groups()
             if not gap or at == 0 or CJK.match(core[at - 1]):
                 continue
             before = token_before(core, 0, at)
@@ -382,10 +418,19 @@ def examples(text: str, rng: random.Random, starts: list[tuple[str, str, str]])
                     yield (mark, before, gap, opened, word, then), 0
                 elif a == "upper":
                     yield (mark, before, gap, opened, word, then), 1
+            elif plain is not None and a == "lower" and b in ("word", "short") and not plain[before.lower()] and len(before) <= 5:
+                yield (mark, before, gap, opened, word, then), 0  # never seen without its stop
             elif b == "title" or (b == "reference" and a in ("digit", "capital.")):
                 yield (mark, before, gap, opened, word, then), 0
+            elif b in ("last", "titlelast") and a == "abbreviation":
+                yield (mark, before, gap, opened, word, then), 0
             elif a == "lower" and b in ("titlelast", "last", "initial", "dotted", "reference", "short", "seen", "letter"):
                 yield (mark, before, gap, opened, word, then), 0
+                # The same with a token that is in no list, so that the model doesn't learn the lists alone.
+                if before.isalpha() and before.isascii() and len(before) > 1:
+                    for _ in range(3):
+                        made = "".join(rng.choice("bcdfghjklmnpqrstvwxz" if i % 2 else "aeiou") for i in range(rng.randint(3, 5)))
+                        yield (mark, made.title() if rng.random() < 0.5 else made, gap, opened, word, then), 0
             elif b == "ordinal" or (a == "lower" and b in ("digits", "digits1", "digits2")):
                 yield (mark, before, gap, opened, word, then), 0
             elif b == "initial" and a in ("upper", "capital."):
@@ -407,7 +452,7 @@ def fit(texts: list[str], seed: int = 11, epochs: int = 5) -> BoundaryModel:
                 starts.append((opened, word, then))
             core = block.rstrip()
             if core.endswith("."):
-                at_end.add(BEFORE.search(core, max(0, len(core) - 25), len(core) - 1).group().lower())
+                at_end.add(core[token_start(core, 0, len(core) - 1, [-1, -1]) : len(core) - 1].lower())
             for m in re.finditer(r"([^\W\d_]{2,12})(\.?)(\s+[a-zß-ÿа-я])?", block):
                 w = m.group(1).lower()
                 if m.group(2):
@@ -418,11 +463,12 @@ def fit(texts: list[str], seed: int = 11, epochs: int = 5) -> BoundaryModel:
     model = BoundaryModel()
     # Tokens that nearly always have a stop, often before a small letter, and never at a paragraph's end.
     model.abbreviations = frozenset(w for w, n in stops.items() if n >= 4 and plain[w] <= n // 20 and small[w] >= n // 3 and w not in at_end)
-    first = Counter(w.lower()[:12] for _, w, _ in starts)
+    model.words = frozenset(plain)
+    first = Counter(w.lower() for _, w, _ in starts)
     model.starters = {w: (2 if n >= 8 else 1) for w, n in first.items() if n >= 3}
     rows, labels = [], []
     for t in texts:
-        for args, y in examples(t, rng, starts):
+        for args, y in examples(t, rng, starts, plain):
             rows.append(model.features(*args))
             labels.append(y)
     if not rows:
@@ -467,8 +513,8 @@ def split_column(df: DataFrame, ident: str, text: str, model: BoundaryModel) ->
 
 
 def train(df: DataFrame, text: str, sample: int = SAMPLE) -> BoundaryModel:
-    """The model of at most ``sample`` documents of moderate length, by the hash of their text."""
-    some = df.filter(F.length(text).between(200, 6000)).select(F.col(text).alias("t"))
+    """The model of at most ``sample`` documents, by the hash of their text; without any, no stop before more text ends a unit."""
+    some = df.filter(F.length(text) > 0).select(F.col(text).alias("t"))
     return fit(bounded_sample(some, "t", sample))
 
 
@@ -477,5 +523,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return split_column(docs, "doc_id", "text", train(docs, "text"))
 
 
-QUERIES = {"p8_found": p8_found}
-SQL: dict[str, str] = {}
+def p8_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Letters and digits of each document that lie in its units, which don't overlap: all of them, but for stretches that are no unit."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    u = p8_found(spark, d).groupBy("doc_id").agg(F.collect_list(F.struct("sent_start", "sent_end")).alias("u"))  # the units of one text
+    inside = F.expr("aggregate(transform(u, x -> length(regexp_replace(substring(text, cast(x.sent_start + 1 as int), cast(x.sent_end - x.sent_start as int)), '[^\\\\p{L}\\\\p{N}]+', ''))), 0, (a, x) -> a + x)")
+    return docs.join(u, "doc_id").select("doc_id", inside.cast("long").alias("n_letters"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_covered": p8_covered}
+SQL = {
+    "p8_covered": "SELECT doc_id, length(regexp_replace(text, '[^\\pL\\pN]+', '', 'g')) AS n_letters FROM documents WHERE length(regexp_replace(text, '[^\\pL\\pN]+', '', 'g')) > 0",
+}
