@@ -17,19 +17,28 @@ STOP_WORDS = {
     "fr": "au aux avec ce ces dans de des du elle en et il je la le les leur mais ne nous on ou par pas pour qu que qui sa se ses son sur un une vous".split(),
     "es": "al como con de del el ella en entre es la las le lo los más no o para pero por que se sin su sus un una y".split(),
 }
-#: Language codes and their names.
-LANGUAGES = dict(
-    x.split(":")
-    for x in "ar:arabic bg:bulgarian bn:bengali ca:catalan cs:czech da:danish de:german el:greek en:english es:spanish et:estonian eu:basque fa:persian fi:finnish fr:french ga:irish gl:galician hi:hindi hu:hungarian hy:armenian id:indonesian it:italian lt:lithuanian lv:latvian nl:dutch no:norwegian pt:portuguese ro:romanian ru:russian sv:swedish tr:turkish".split()
-)
+#: Language codes and their names; the last lines are known besides.
+LANGUAGES = {
+    "en": "english", "de": "german", "fr": "french", "es": "spanish", "it": "italian", "pt": "portuguese", "ru": "russian", "ja": "japanese", "zh": "chinese", "ar": "arabic", "da": "danish",
+    "nl": "dutch", "fi": "finnish", "hu": "hungarian", "no": "norwegian", "ro": "romanian", "sv": "swedish", "tr": "turkish", "id": "indonesian", "ms": "malay", "vi": "vietnamese", "th": "thai",
+    "cs": "czech", "el": "greek", "is": "icelandic", "pl": "polish", "sk": "slovak", "sl": "slovenian", "et": "estonian", "lv": "latvian", "lt": "lithuanian",
+    "bg": "bulgarian", "bn": "bengali", "ca": "catalan", "eu": "basque", "fa": "persian", "ga": "irish", "gl": "galician", "hi": "hindi", "hy": "armenian",
+}
+#: Scripts that write no space between words: each letter is a token.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
 TOKEN_GAP = r"[^\p{L}\p{N}]+"
 
 
-def tokens(c: Column, stop: Sequence[str] = (), fold: bool = False) -> Column:
-    """Words in lower case; with ``fold``, accents of Latin letters are removed; null has none."""
+def tokens(c: Column, stop: Sequence[str] = (), fold: bool = False, scripts: bool = False) -> Column:
+    """Words in lower case; with ``fold``, accents of Latin letters are removed; null has none.
+
+    With ``scripts`` each letter of a script that writes no spaces is a token of its own.
+    """
     low = F.lower(F.coalesce(c, F.lit("")))
     if fold:
         low = F.translate(low, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    if scripts:
+        low = F.regexp_replace(low, f"({UNSPACED})", " $1 ")
     words = F.filter(F.split(low, TOKEN_GAP), lambda t: t != "")
     return F.filter(words, lambda t: ~t.isin(list(stop))) if stop else words
 

@@ -1,7 +1,8 @@
 """Vector search: exact top k by five metrics, cell probing, and quantisation.
 
-The queries are a stated set; they are read in blocks of at most ``QUERY_BYTES``, and every
-block is a bounded broadcast against which each Arrow batch of the vectors keeps its own best k.
+Queries of at most ``QUERY_BYTES`` are one broadcast of checked size; more are cut into blocks that
+meet blocks of the vectors on the executors, by a join key of both. Either way a task works in tiles of bounded
+size, keeps one running best k for each query, and sends it once.
 Distances are negated, so that a larger score is always better.
 """
 
@@ -19,6 +20,9 @@ from lodestone.operators.lexical import top
 METRICS = ("inner_product", "l2", "l1", "linf", "js")
 #: Bytes of query vectors in one broadcast.
 QUERY_BYTES = 32 << 20
+#: Queries, and vectors, of one tile: 32 MB of scores.
+TILE = 2048
+HITS = "qid long, row_idx long, score double"
 
 
 def score_column(metric: str, q: Column, v: Column) -> Column:
@@ -51,7 +55,7 @@ def _scores(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
             out[i] = -0.5 * (a + b).sum(axis=1)
         else:
             d = np.abs(v - x)
-            out[i] = -((d * d).sum(axis=1) if metric == "l2" else d.sum(axis=1) if metric == "l1" else d.max(axis=1))
+            out[i] = -_distance(metric, d)
     return out
 
 
@@ -60,65 +64,104 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(np.asarray(column.is_valid()))
     if not len(at):
         return at, np.zeros((0, 0))
-    rows = [np.array(x, dtype=np.float64) for x in column.take(pa.array(at)).to_pylist()]
-    return at, np.nan_to_num(np.stack(rows), nan=0.0)
+    lists = column.take(pa.array(at))
+    width = len(lists[0])
+    flat = lists.flatten()
+    if len(flat) != width * len(at):
+        raise ValueError("vectors of different length")
+    return at, np.nan_to_num(flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), width), nan=0.0)
+
+
+class Best:
+    """The running best k of a set of queries, in the order that the final rank has: by rounded score, then by number."""
+
+    def __init__(self, q: np.ndarray, k: int, metric: str, shards: np.ndarray | None = None) -> None:
+        self.q, self.k, self.metric, self.shards = q, k, metric, shards
+        self.score = np.full((len(q), k), -np.inf)
+        self.idx = np.full((len(q), k), np.iinfo(np.int64).max)
+
+    def add(self, idx: np.ndarray, v: np.ndarray, shards: np.ndarray | None = None) -> None:
+        for i in range(0, len(self.q), TILE):
+            for j in range(0, len(v), TILE):
+                self._tile(slice(i, i + TILE), idx[j : j + TILE], v[j : j + TILE], None if shards is None else shards[j : j + TILE])
+
+    def _tile(self, rows: slice, idx: np.ndarray, v: np.ndarray, shards: np.ndarray | None) -> None:
+        s = _scores(self.metric, self.q[rows], v)
+        if shards is not None:
+            s = np.where(self.shards[rows][:, None] == shards[None, :], s, -np.inf)
+        s = np.concatenate([self.score[rows], s], axis=1)
+        rounded = np.round(s, 9)
+        ids = np.concatenate([self.idx[rows], np.broadcast_to(idx, (len(s), len(idx)))], axis=1)
+        # All that reach the k-th score, ties too; then in order.
+        least = -np.partition(-rounded, self.k - 1, axis=1)[:, self.k - 1]
+        who, at = np.nonzero((rounded >= least[:, None]) & np.isfinite(s))
+        order = np.lexsort((ids[who, at], -rounded[who, at], who))
+        who, at = who[order], at[order]
+        place = np.arange(len(who)) - np.searchsorted(who, np.arange(len(s)))[who]
+        kept = place < self.k
+        who, at, place = who[kept], at[kept], place[kept]
+        best, best_ids = np.full((len(s), self.k), -np.inf), np.full((len(s), self.k), np.iinfo(np.int64).max)
+        best[who, place], best_ids[who, place] = s[who, at], ids[who, at]
+        self.score[rows], self.idx[rows] = best, best_ids
+
+    def rows(self, qid: np.ndarray) -> pa.RecordBatch:
+        keep = np.isfinite(self.score)
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qid[:, None], keep.shape)[keep]), pa.array(self.idx[keep]), pa.array(self.score[keep])], names=["qid", "row_idx", "score"])
 
 
 def search(queries: DataFrame, vectors: DataFrame, top_k: int = 10, metric: str = "inner_product", shard: str | None = None) -> DataFrame:
     """``(qid, row_idx, score)``: the best ``top_k`` of ``vectors(row_idx, vector)`` for ``queries(qid, vector)``.
 
     With ``shard`` both sides have that column and a query meets vectors of its shard only. Null
-    vectors are left out. Queries of more than one block are answered block by block.
+    vectors are left out.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}; known: {METRICS}")
     keys = [shard] if shard else []
-    out = None
-    for ids, matrix, shards in _blocks(queries.filter("vector is not null").select("qid", "vector", *keys), shard):
-        found = _search_block(vectors, ids, matrix, shards, top_k, metric, shard)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "qid long, row_idx long, score double")
-    return top(out, top_k)
-
+    q = queries.filter("vector is not null").select("qid", "vector", *keys)
+    v = vectors.filter("vector is not null").select("row_idx", "vector", *keys)
+    size = q.agg(F.coalesce(F.sum(F.size("vector").cast("long") * 8), F.lit(0)).alias("b")).first()["b"]  # one number
+    found = _broadcast_search(q, v, top_k, metric, shard) if size <= QUERY_BYTES else _block_search(q, v, top_k, metric, shard, size)
+    return top(found, top_k)
 
-def _blocks(queries: DataFrame, shard: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, list | None]]:
-    """The queries in blocks of bounded size, streamed to the driver one partition at a time."""
-    ids, rows, shards, size = [], [], [], 0
-    for r in queries.toLocalIterator():
-        ids.append(r["qid"])
-        rows.append(r["vector"])
-        shards.append(r[shard] if shard else None)
-        size += 8 * len(r["vector"])
-        if size >= QUERY_BYTES:
-            yield np.array(ids, np.int64), np.nan_to_num(np.array(rows, np.float64)), shards if shard else None
-            ids, rows, shards, size = [], [], [], 0
-    if ids:
-        yield np.array(ids, np.int64), np.nan_to_num(np.array(rows, np.float64)), shards if shard else None
 
-
-def _search_block(vectors: DataFrame, ids, matrix, shards, top_k: int, metric: str, shard: str | None) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, shards))  # at most QUERY_BYTES
+def _broadcast_search(q: DataFrame, v: DataFrame, top_k: int, metric: str, shard: str | None) -> DataFrame:
+    t = q.toArrow()  # at most QUERY_BYTES
+    names = np.array(t.column(2).to_pylist(), dtype=object) if shard else None
+    _, matrix = _matrix(t.column(1).combine_chunks()) if t.num_rows else (None, np.zeros((0, 0)))
+    shared = v.sparkSession.sparkContext.broadcast((t.column(0).to_numpy().astype(np.int64), matrix, names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q, qs = shared.value
+        qid, m, names = shared.value
+        best = Best(m, top_k, metric, names)
         for b in batches:
-            at, v = _matrix(b.column(1))
-            if not len(at):
-                continue
-            idx = b.column(0).to_numpy(zero_copy_only=False)[at]
-            s = _scores(metric, q, v)
-            if qs is not None:
-                mine = np.array(b.column(2).to_pylist(), dtype=object)[at]
-                s = np.where(np.array(qs, dtype=object)[:, None] == mine[None, :], s, -np.inf)
-            # The batch's best k of each query, by the order that the final rank has.
-            order = np.lexsort((np.broadcast_to(idx, s.shape), -np.round(s, 9)), axis=1)[:, :top_k]
-            flat = np.take_along_axis(s, order, axis=1)
-            keep = np.isfinite(flat)
-            who = np.broadcast_to(qid[:, None], flat.shape)[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(idx[order][keep].astype(np.int64)), pa.array(flat[keep])], names=["qid", "row_idx", "score"])
+            if b.num_rows and len(qid):
+                _, x = _matrix(b.column(1))
+                best.add(b.column(0).to_numpy().astype(np.int64), x, np.array(b.column(2).to_pylist(), dtype=object) if shard else None)
+        yield best.rows(qid)
+
+    return v.mapInArrow(run, HITS)
+
+
+def _block_search(q: DataFrame, v: DataFrame, top_k: int, metric: str, shard: str | None, size: int) -> DataFrame:
+    """Blocks of queries meet blocks of vectors, each two in one group of bounded size; the best k of a group are ranked again by all."""
+    space = v.agg(F.coalesce(F.sum(F.size("vector").cast("long") * 8), F.lit(0)).alias("b")).first()["b"]
+    nq, nv = -(-size // QUERY_BYTES), max(1, -(-space // QUERY_BYTES))
+    # With shards only equal ones meet, as the blocks' key has the shard.
+    keys = [shard] if shard else []
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = q.withColumn("p", block("qid", nq)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
+    right = v.withColumn("r", block("row_idx", nv)).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
-    return vectors.select("row_idx", "vector", *([shard] if shard else [])).mapInArrow(run, "qid long, row_idx long, score double")
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"qid": pa.array([], pa.int64()), "row_idx": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        best = Best(_matrix(a.column("vector").combine_chunks())[1], top_k, metric)
+        best.add(b.column("row_idx").to_numpy().astype(np.int64), _matrix(b.column("vector").combine_chunks())[1])
+        return pa.Table.from_batches([best.rows(a.column("qid").to_numpy().astype(np.int64))])
+
+    group = ["p", "r", *keys]
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(run, HITS)
 
 
 def softmaxed(v: Column) -> Column:
@@ -139,11 +182,33 @@ def probe(queries: DataFrame, vectors: DataFrame, cells: DataFrame, nprobe: int,
 
     ``vectors(row_idx, vector, cell)``, ``cells(cell, vector)``. Probing all cells is exact.
     """
-    near = queries.select("qid", F.col("vector").alias("q")).join(F.broadcast(cells.select("cell", F.col("vector").alias("c"))), F.lit(True))
-    near = near.withColumn("score", score_column(metric, F.transform("q", lambda x: x.cast("double")), F.col("c"))).withColumnRenamed("cell", "row_idx")
-    near = top(near, nprobe).withColumnRenamed("row_idx", "cell").select("qid", "q", "cell")
-    pairs = near.join(vectors, "cell").withColumn("score", score_column(metric, F.transform("q", lambda x: x.cast("double")), F.transform("vector", lambda x: x.cast("double"))))
-    return top(pairs.select("qid", "row_idx", "score"), top_k)
+    near = search(queries, cells.select(F.col("cell").cast("long").alias("row_idx"), "vector"), nprobe, metric)
+    near = near.select("qid", F.col("row_idx").alias("near")).join(queries.select("qid", F.col("vector").alias("q")), "qid")
+    # A frequent cell is split by adaptive execution; scores are computed by batch.
+    pairs = near.join(vectors.select("row_idx", "vector", F.col("cell").cast("long").alias("near")), "near").filter("vector is not null")
+    return top(scored(pairs.select("qid", "row_idx", "q", "vector"), metric), top_k)
+
+
+def scored(pairs: DataFrame, metric: str = "inner_product") -> DataFrame:
+    """``(qid, row_idx, score)`` of ``pairs(qid, row_idx, q, vector)``, row by row in Arrow batches."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}; known: {METRICS}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                q, v = _matrix(b.column(2))[1], _matrix(b.column(3))[1]
+                if metric == "inner_product":
+                    s = np.einsum("ij,ij->i", q, v)
+                else:
+                    s = np.array([_scores(metric, x[None], y[None])[0, 0] for x, y in zip(q, v)]) if metric == "js" else -_distance(metric, np.abs(q - v))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["qid", "row_idx", "score"])
+
+    return pairs.select(F.col("qid").cast("long"), F.col("row_idx").cast("long"), "q", "vector").mapInArrow(run, HITS)
+
+
+def _distance(metric: str, d: np.ndarray) -> np.ndarray:
+    return (d * d).sum(axis=1) if metric == "l2" else d.sum(axis=1) if metric == "l1" else d.max(axis=1)
 
 
 def train_cells(vectors: DataFrame, n_cells: int, sample: int = 100_000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -160,8 +225,8 @@ def train_cells(vectors: DataFrame, n_cells: int, sample: int = 100_000, seed: i
 
 
 def int8_scale(vectors: DataFrame, quantile: float = 0.99) -> Column:
-    """The clip of scalar quantisation as a literal: the quantile of the absolute elements."""
-    x = vectors.select(F.explode("vector").alias("x")).agg(F.percentile(F.abs(F.col("x").cast("double")), F.lit(quantile)).alias("s")).first()["s"]
+    """The clip of scalar quantisation as a literal: the quantile of the absolute elements, by a sketch of bounded size."""
+    x = vectors.select(F.explode("vector").alias("x")).agg(F.approx_percentile(F.abs(F.col("x").cast("double")), quantile, 100_000).alias("s")).first()["s"]
     return F.lit(float(x) if x else 1.0)
 
 
@@ -211,12 +276,17 @@ def search_codes(queries: DataFrame, codes: DataFrame, books: list[np.ndarray],
     """Inner product of queries with coded vectors, by one table of partial products a query."""
     width = books[0].shape[1]
     step = max(1, QUERY_BYTES // (8 * sum(map(len, books))))  # queries whose tables fit in a broadcast
+    kept = queries.filter("vector is not null").select("qid", "vector")
+    n = kept.count()
     out = None
-    for ids, q, _ in _blocks(queries.filter("vector is not null").select("qid", "vector"), None):
-        for i in range(0, len(ids), step):
-            found = _search_codes_block(codes, ids[i : i + step], [q[i : i + step, j * width : (j + 1) * width] @ c.T for j, c in enumerate(books)], top_k)
-            out = found if out is None else out.unionByName(found)
-    return top(out, top_k)
+    for p in range(max(1, -(-n // step))):  # blocks of queries, each of a bounded size
+        t = (kept if n <= step else kept.filter(F.pmod(F.xxhash64("qid"), F.lit(-(-n // step))) == p)).toArrow()
+        if not t.num_rows:
+            continue
+        ids, q = t.column(0).to_numpy().astype(np.int64), _matrix(t.column(1).combine_chunks())[1]
+        found = _search_codes_block(codes, ids, [q[:, j * width : (j + 1) * width] @ c.T for j, c in enumerate(books)], top_k)
+        out = found if out is None else out.unionByName(found)
+    return top(out, top_k) if out is not None else codes.sparkSession.createDataFrame([], HITS)
 
 
 def _search_codes_block(codes: DataFrame, ids: np.ndarray, tables: list[np.ndarray], top_k: int) -> DataFrame:
@@ -239,6 +309,5 @@ def _search_codes_block(codes: DataFrame, ids: np.ndarray, tables: list[np.ndarr
 
 def reranked(queries: DataFrame, vectors: DataFrame, hits: DataFrame, top_k: int, metric: str = "inner_product") -> DataFrame:
     """The best ``top_k`` of approximate hits by their exact scores."""
-    d = lambda c: F.transform(c, lambda x: x.cast("double"))
-    both = hits.select("qid", "row_idx").join(vectors.select("row_idx", F.col("vector").alias("v")), "row_idx").join(queries.select("qid", F.col("vector").alias("q")), "qid")
-    return top(both.select("qid", "row_idx", score_column(metric, d(F.col("q")), d(F.col("v"))).alias("score")), top_k)
+    both = hits.select("qid", "row_idx").join(vectors.select("row_idx", "vector"), "row_idx").join(queries.select("qid", F.col("vector").alias("q")), "qid")
+    return top(scored(both.filter("q is not null and vector is not null").select("qid", "row_idx", "q", "vector"), metric), top_k)

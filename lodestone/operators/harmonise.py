@@ -17,21 +17,21 @@ from pyspark.sql import types as T
 from lodestone.errors import NoAdapterError
 from lodestone.functions.text import section_hash
 
-# Names under which sets carry a field, in the order of preference.
+# Names under which sets carry a field, in the order of preference; behind them, names that are known besides.
 ALIASES: dict[str, tuple[str, ...]] = {
-    "query_id": ("id", "question_id", "query_id", "qid", "_id", "example_id", "uid"),
-    "section_id": ("id", "section_id", "doc_id", "_id", "pid", "passage_id", "document_id"),
-    "query": ("query", "question", "text", "prompt", "input", "inputs"),
-    "content": ("content", "context", "article", "text", "body", "passage", "document.text", "contents"),
-    "title": ("title", "header", "heading", "document.title", "name"),
-    "contexts": ("contexts", "context", "article", "passages", "passage"),
-    "titles": ("titles", "title"),
-    "answers": ("answers", "answer", "labels", "aliases"),
+    "query_id": ("id", "uid", "question_id", "query_id", "qid", "_id", "example_id"),
+    "section_id": ("_id", "id", "uid", "section_id", "context_id", "passage_id", "document.idx", "doc_id", "pid", "document_id"),
+    "query": ("text", "query", "question", "prompt", "input", "inputs"),
+    "content": ("text", "passage", "context", "section", "content", "article", "document.text", "body", "contents"),
+    "title": ("title", "heading", "header", "document.title", "titles", "name"),
+    "contexts": ("contexts", "context", "passages", "passage", "sections", "section", "contents", "content", "articles", "article"),
+    "titles": ("titles", "title", "heading", "header", "document.title"),
+    "answers": ("answer", "answers", "response", "labels", "aliases"),
     "answer_scores": ("answer_scores", "scores"),
-    "choices": ("choices", "options", "endings"),
-    "choice": ("answer", "label", "answer_idx", "correct", "cop"),
-    "inputs": ("inputs", "input", "source", "prompt"),
-    "targets": ("targets", "target", "output", "response"),
+    "choices": ("choices", "options", "candidates", "endings"),
+    "choice": ("answer", "answer_idx", "answer_index", "label", "correct", "cop"),
+    "inputs": ("inputs", "prompt", "question", "query", "input", "source"),
+    "targets": ("targets", "answer", "response", "completion", "target", "output"),
 }
 QUERY_COLUMNS = ("id", "query", "answers", "answer_scores", "retrieval_ids", "retrieval_scores", "subset_ids")
 STRINGS, DOUBLES = T.ArrayType(T.StringType()), T.ArrayType(T.DoubleType())
@@ -141,7 +141,7 @@ def _pages(df: DataFrame) -> bool:
 
 
 def _t2t(df: DataFrame) -> bool:
-    return _is(df, "inputs", T.StringType) and resolve(df, "targets") is not None
+    return _is(df, "inputs", T.StringType) and _is(df, "targets", T.StringType)
 
 
 def _text_to_text(df: DataFrame) -> DataFrame:
@@ -271,9 +271,10 @@ class QrelsSet:
 
         self.queries = read_json_lines(spark, f"{path}/queries.jsonl", "_id string, text string")
         self.corpus = read_json_lines(spark, f"{path}/corpus.jsonl", "_id string, title string, text string")
-        self._tsv = lambda split: read_tsv(spark, f"{path}/qrels/{split}.tsv", {"query-id": "query_id", "corpus-id": "corpus_id", "score": "score"})
+        self._tsv = lambda split: read_tsv(spark, f"{path}/qrels/{split or '*'}.tsv", {"query-id": "query_id", "corpus-id": "corpus_id", "score": "score"})
 
-    def qrels(self, split: str) -> DataFrame:
+    def qrels(self, split: str | None) -> DataFrame:
+        """The judgements of a split, of all splits where it is null."""
         return self._tsv(split).withColumn("score", F.col("score").cast("int")).withColumn("judged_at", F.lit(None).cast("timestamp"))
 
     def load_queries(self, split: str) -> DataFrame:

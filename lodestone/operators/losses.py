@@ -14,30 +14,49 @@ def prepared(df: DataFrame) -> DataFrame:
     return df.withColumn("log_p", log_softmax(F.col("score").cast("double"), "qid"))
 
 
-def retrieval(df: DataFrame) -> DataFrame:
-    """``(qid, loss)``: sum of (p - y) log p over the number of positives, or of candidates where there is none."""
-    d = prepared(df)
+def _retrieval() -> Column:
     positives = F.sum("target")
     n = F.when(positives > 0, positives).otherwise(F.count(F.lit(1)).cast("double"))
-    return d.groupBy("qid").agg((F.sum((F.exp("log_p") - F.col("target")) * F.col("log_p")) / n).alias("loss"))
+    return F.sum((F.exp("log_p") - F.col("target")) * F.col("log_p")) / n
 
 
-def guidance(df: DataFrame, reference: str | None = "sparse") -> DataFrame:
-    """``(qid, loss)``: mean Huber distance of the log-probability from a reference score, or from 0."""
-    d = prepared(df)
+def _guidance(reference: str | None) -> Column:
     ref = F.col(reference).cast("double") if reference else F.lit(0.0)
     e = F.when(finite(ref), F.col("log_p") - ref)
-    return d.groupBy("qid").agg(F.avg(F.when(F.abs(e) < 1, e * e / 2).otherwise(F.abs(e) - 0.5)).alias("loss"))
+    return F.avg(F.when(F.abs(e) < 1, e * e / 2).otherwise(F.abs(e) - 0.5))
+
+
+def _self_supervision() -> Column:
+    return -F.max(F.when(F.col("target") > 0, F.col("log_p")))
+
+
+def _score_decay() -> Column:
+    s = F.col("score").cast("double")
+    return F.avg(s * s)
+
+
+def _one(df: DataFrame, loss: Column) -> DataFrame:
+    return prepared(df).groupBy("qid").agg(loss.alias("loss"))
+
+
+def retrieval(df: DataFrame) -> DataFrame:
+    """``(qid, loss)``: sum of (p - y) log p over the number of positives, or of candidates where there is none."""
+    return _one(df, _retrieval())
+
+
+def guidance(df: DataFrame, reference: str | None = "sparse") -> DataFrame:
+    """``(qid, loss)``: mean Huber distance of the log-probability from a reference score, or from 0."""
+    return _one(df, _guidance(reference))
 
 
 def self_supervision(df: DataFrame) -> DataFrame:
     """``(qid, loss)``: cross-entropy against the best of the query's own positives; null without any."""
-    return prepared(df).groupBy("qid").agg((-F.max(F.when(F.col("target") > 0, F.col("log_p")))).alias("loss"))
+    return _one(df, _self_supervision())
 
 
 def score_decay(df: DataFrame) -> DataFrame:
-    s = F.col("score").cast("double")
-    return df.filter(finite(F.col("score"))).groupBy("qid").agg(F.avg(s * s).alias("loss"))
+    """``(qid, loss)``: mean square of the scores."""
+    return df.filter(finite(F.col("score"))).groupBy("qid").agg(_score_decay().alias("loss"))
 
 
 def divergence(df: DataFrame, against: str) -> DataFrame:
@@ -48,14 +67,14 @@ def divergence(df: DataFrame, against: str) -> DataFrame:
 
 
 def combined(df: DataFrame, weights: dict[str, float], reference: str | None = "sparse") -> DataFrame:
-    """``(qid, loss)``: weighted sum of the losses named retrieval, guidance, self_supervision and score_decay."""
-    known = {"retrieval": retrieval, "guidance": lambda x: guidance(x, reference), "self_supervision": self_supervision, "score_decay": score_decay}
-    out = df.select("qid").distinct()
+    """``(qid, loss)``: weighted sum, in one aggregation, of the losses named retrieval, guidance, self_supervision and score_decay."""
+    known = {"retrieval": _retrieval, "guidance": lambda: _guidance(reference), "self_supervision": _self_supervision, "score_decay": _score_decay}
     total: Column = F.lit(0.0)
     for name, w in weights.items():
-        out = out.join(known[name](df).withColumnRenamed("loss", name), "qid", "left")
-        total = total + F.lit(float(w)) * F.coalesce(F.col(name), F.lit(0.0))
-    return out.select("qid", total.alias("loss"))
+        total = total + F.lit(float(w)) * F.coalesce(known[name](), F.lit(0.0))
+    # Queries without a scored candidate keep a row, with the loss 0.
+    every = df.groupBy("qid").agg(F.lit(0.0).alias("none"))
+    return every.join(_one(df, total), "qid", "left").select("qid", F.coalesce("loss", "none").alias("loss"))
 
 
 def marginal_likelihood(df: DataFrame, log_likelihood: str = "logp_x_z") -> DataFrame:

@@ -105,10 +105,9 @@ def per_query(df: DataFrame, names: Sequence[str], strict: bool = False) -> Data
 
 def summary(df: DataFrame, names: Sequence[str], score_columns: Sequence[str] = ("score",), strict: bool = False) -> DataFrame:
     """``(score_key, metric, value, n_queries)``: means over the queries for each score column; undefined values are left out."""
-    out = None
-    for c in score_columns:
-        one = per_query(df.select("qid", "row_idx", F.col(c).alias("score"), "relevance"), names, strict)
-        pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("m")
-        one = one.select(pairs).groupBy(F.lit(c).alias("score_key"), F.col("m.metric").alias("metric")).agg(F.avg("m.value").alias("value"), F.count("m.value").alias("n_queries"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    # One pass: a list for each query and score column.
+    scores = F.explode(F.array(*[F.struct(F.lit(c).alias("score_key"), F.col(c).cast("double").alias("score")) for c in score_columns])).alias("s")
+    long = df.select("qid", "row_idx", "relevance", scores).select(F.struct(F.col("s.score_key").alias("score_key"), "qid").alias("qid"), "row_idx", "s.score", "relevance")
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("m")
+    each = per_query(long, names, strict).select(F.col("qid.score_key").alias("score_key"), pairs)
+    return each.groupBy("score_key", F.col("m.metric").alias("metric")).agg(F.avg("m.value").alias("value"), F.count("m.value").alias("n_queries"))

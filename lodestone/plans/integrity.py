@@ -21,8 +21,23 @@ def references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def orphan_references(spark: SparkSession, d: str) -> DataFrame:
+    """The references that the cascade finds under what they refer to: a section at a moment.
+
+    Sections at the moments that are referred to, each once however often it is, are checked by the as-of join; those
+    without a living record are the direct orphans of the foreign-key graph, and the references, their children, are found by the
+    cascade's semi-joins.
+    """
+    refs = references(spark, d).filter("section_id is not null")
+    kind = refs.schema["made_at"].dataType
+    zoned = kind.simpleString() == "timestamp"  # as a number, since a local time may be ambiguous
+    at = (F.unix_micros("made_at") if zoned else F.col("made_at")).cast("string").alias("at")
+    refs = refs.withColumn("parent", F.to_json(F.struct("section_id", at))).withColumn("child", F.to_json(F.struct("ref_table", "query_id", "section_id", at)))
     events = table(spark, d, "sections").select("id", "loaded_at", "deleted")
-    return unresolved(references(spark, d), events)
+    gone = unresolved(refs.select("section_id", "made_at", "parent").distinct(), events)
+    orphans = cascade(gone.select(F.lit("sections").alias("rec_table"), F.col("parent").alias("rec_id")), [Edge("references", "sections", refs.select("child", "parent"))])
+    r = F.from_json("rec_id", "ref_table string, query_id string, section_id string, at string").alias("r")
+    made = F.timestamp_micros(F.col("r.at").cast("long")) if zoned else F.col("r.at").cast(kind)
+    return orphans.filter("rec_table = 'references'").select(r).select("r.ref_table", "r.query_id", "r.section_id", made.alias("made_at"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +69,20 @@ def p5_cascade(spark: SparkSession, d: str) -> DataFrame:
     return orphans.join(made, ["rec_table", "rec_id"]).groupBy("rec_table", month(F.col("at")).alias("month"), "kind").agg(F.count(F.lit(1)).alias("n_records"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p5_cascade": p5_cascade}
+def p5_depths(spark: SparkSession, d: str) -> DataFrame:
+    """Records by their distance from a section that is missing or deleted in the end: sections, what refers to them, and judgements of such queries."""
+    last = table(spark, d, "sections").filter("id is not null").groupBy("id").agg(F.max(F.struct("loaded_at", F.coalesce("deleted", F.lit(False)).alias("gone"))).alias("e"))
+    q = table(spark, d, "queries").select(F.col("id").alias("child"), F.explode("retrieval_ids").alias("parent")).filter(F.regexp_replace("parent", r"\s", "") != "").distinct()
+    r = table(spark, d, "qrels").select("query_id", "corpus_id").distinct()
+    key = F.to_json(F.struct("query_id", "corpus_id"))
+    judged = r.filter(F.regexp_replace("corpus_id", r"\s", "") != "").select(key.alias("child"), F.col("corpus_id").alias("parent"))
+    asked = q.select("parent").unionByName(judged.select("parent")).distinct()
+    dead = asked.join(last.filter("not e.gone").select(F.col("id").alias("parent")), "parent", "left_anti")
+    edges = [Edge("queries", "sections", q), Edge("qrels", "sections", judged), Edge("qrels", "queries", r.select(key.alias("child"), F.col("query_id").alias("parent")))]
+    return cascade(dead.select(F.lit("sections").alias("rec_table"), F.col("parent").alias("rec_id")), edges).groupBy("rec_table", "depth").agg(F.count(F.lit(1)).alias("n_records"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p5_cascade": p5_cascade, "p5_depths": p5_depths}
 
 _REFS = """
 refs AS (
@@ -83,4 +111,11 @@ SQL = {
         FROM j LEFT JOIN dj ON dj.query_id = j.query_id AND dj.section_id = j.corpus_id
         LEFT JOIN dq ON dq.query_id = j.query_id WHERE dj.query_id IS NOT NULL OR dq.query_id IS NOT NULL)
       SELECT rec_table, strftime(at_, '%Y-%m') AS month, kind, count(*) AS n_records FROM orphans GROUP BY 1, 2, 3""",
+    "p5_depths": """WITH q AS (SELECT DISTINCT id, sid FROM (SELECT id, unnest(retrieval_ids) AS sid FROM queries) WHERE regexp_replace(sid, '\\s', '', 'g') <> ''),
+      r AS (SELECT DISTINCT query_id, corpus_id FROM qrels), j AS (SELECT * FROM r WHERE regexp_replace(corpus_id, '\\s', '', 'g') <> ''),
+      l AS (SELECT id, arg_max(coalesce(deleted, false), (loaded_at, coalesce(deleted, false))) AS gone FROM sections GROUP BY 1),
+      dead AS (SELECT DISTINCT sid FROM (SELECT sid FROM q UNION ALL SELECT corpus_id FROM j) WHERE sid NOT IN (SELECT id FROM l WHERE NOT gone AND id IS NOT NULL)),
+      dq AS (SELECT DISTINCT id FROM q WHERE sid IN (SELECT sid FROM dead)), dj AS (SELECT * FROM j WHERE corpus_id IN (SELECT sid FROM dead)),
+      ij AS (SELECT * FROM r WHERE query_id IN (SELECT id FROM dq) EXCEPT SELECT * FROM dj)
+      SELECT 'sections' AS rec_table, 0 AS depth, count(*) AS n_records FROM dead UNION ALL SELECT 'queries', 1, count(*) FROM dq UNION ALL SELECT 'qrels', 1, count(*) FROM dj UNION ALL SELECT 'qrels', 2, count(*) FROM ij""",
 }

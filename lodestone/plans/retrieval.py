@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import scoring
 from lodestone.operators import assemble, dense, fusion, losses, metrics, sampling
 from lodestone.operators.lexical import LexicalIndex, top
-from lodestone.session import table
+from lodestone.session import shared_dir, table
+from lodestone.sources import readers
 
 EVERY = 50
 WEIGHTS = {"sparse": 0.1, "dense": 1.0}
@@ -46,7 +47,9 @@ def vector_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark, d):
-    return LexicalIndex.build(sections(spark, d))
+    """The lexical index of the documents, built once for the state that the files are in."""
+    source = readers.source_key(spark, f"{d}/documents.parquet")
+    return LexicalIndex.build(sections(spark, d), folder=f"{shared_dir(spark)}/indexes", key={"source": source, "body": "text"})
 
 
 def sparse_hits(spark, d, k=DEPTH):
@@ -57,12 +60,14 @@ def dense_hits(spark, d, k=DEPTH):
     return dense.search(vector_queries(spark, d), vectors(spark, d), k)
 
 
-def gold(spark, d):
-    """``(qid, row_idx, relevance)``."""
-    s, q = sections(spark, d), text_queries(spark, d)
-    same_text = q.select("qid", "text").join(s.select("row_idx", "body"), F.col("text") == F.col("body")).select("qid", "row_idx", F.lit(2).alias("relevance"))
-    same_set = q.select("qid", "subset_id").join(s.select("row_idx", "subset_id"), "subset_id").select("qid", "row_idx", F.lit(1).alias("relevance"))
-    return same_text.unionByName(same_set).groupBy("qid", "row_idx").agg(F.max("relevance").alias("relevance"))
+def gold(spark, d, hits):
+    """``(qid, row_idx, relevance)`` of the candidates ``hits(qid, row_idx)`` that are relevant: the work follows the candidates."""
+    digest = lambda c: F.md5(F.col(c)).alias("digest")
+    s = sections(spark, d).select("row_idx", "subset_id", digest("body"))
+    q = text_queries(spark, d).select("qid", F.col("subset_id").alias("asked"), digest("text").alias("same"))
+    both = hits.select("qid", "row_idx").distinct().join(s, "row_idx").join(q, "qid")
+    relevance = F.when(F.col("digest") == F.col("same"), 2).when(F.col("subset_id") == F.col("asked"), 1)
+    return both.select("qid", "row_idx", relevance.alias("relevance")).filter("relevance is not null")
 
 
 def by_id(spark, d):
@@ -84,7 +89,8 @@ def merged(spark, d):
 
 
 def judged(spark, d):
-    return assemble.with_relevance(merged(spark, d), gold(spark, d))
+    m = merged(spark, d)
+    return assemble.with_relevance(m, gold(spark, d, m))
 
 
 # --- queries ---------------------------------------------------------------------------------
@@ -223,7 +229,8 @@ def in_batch_negatives(spark, d):
 
 
 def batch_sections(spark, d):
-    s = assemble.samples(engines(spark, d), gold(spark, d), WEIGHTS, 5, 2)
+    found = engines(spark, d)
+    s = assemble.samples(found, gold(spark, d, fusion.fan_in(found)), WEIGHTS, 5, 2)
     rows = assemble.batch_rows(text_queries(spark, d).select("qid"), s, sections(spark, d), ("section_id",))
     return rows.select("qid", F.posexplode("sections").alias("pos", "s")).select("qid", "pos", "s.section_id", (F.round("s.score", 6) + F.lit(0.0)).alias("score"), "s.label", "s.relevance")
 

@@ -81,6 +81,11 @@ def read_tsv(spark: SparkSession, path: str, names: Mapping[str, str]) -> DataFr
 MODES = ("read_or_write", "x", "r", "a")
 
 
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a table stands at the path whose write was committed; an aborted one is none."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -88,10 +93,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def open_vectors(spark: SparkSession, path: str, make: Callable[[], DataFrame], mode: str = "read_or_write") -> DataFrame:
-    """A store of ``(row_idx, vector)``: read it, else make it; x fails if it is there, r and a if it isn't; a appends."""
+    """A store of ``(row_idx, vector)``: read it, else make it; x fails if it is there, r and a if it isn't; a appends.
+
+    A store is there if its write was committed; what an aborted one left is overwritten.
+    """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}; known: {MODES}")
-    there = exists(spark, path)
+    there = committed(spark, path)
     if mode == "x" and there:
         raise FileExistsError(path)
     if mode in ("r", "a") and not there:
@@ -99,7 +107,25 @@ def open_vectors(spark: SparkSession, path: str, make: Callable[[], DataFrame],
     if mode == "a":
         make().write.mode("append").parquet(path)
     elif not there:
-        make().write.mode("errorifexists").parquet(path)  # committed as a whole or not at all
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def put_vectors(spark: SparkSession, path: str, rows: DataFrame, dtype: str = "float") -> DataFrame:
+    """Writes ``rows(row_idx, vector)`` at their numbers: a row of a number that the store has takes its place.
+
+    The store is rewritten beside and then swapped, so that a failed write leaves the old one. Of
+    repeated numbers in ``rows`` one stands; the vectors are kept as ``dtype``, which a later open reads back.
+    """
+    new = rows.select("row_idx", F.col("vector").cast(f"array<{dtype}>").alias("vector")).dropDuplicates(["row_idx"])
+    if committed(spark, path):
+        old = spark.read.parquet(path)
+        new = old.join(new.select("row_idx"), "row_idx", "left_anti").select("row_idx", F.col("vector").cast(f"array<{dtype}>").alias("vector")).unionByName(new)
+    new.write.mode("overwrite").parquet(f"{path}.new")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(hadoop(path), True)
+    fs.rename(hadoop(f"{path}.new"), hadoop(path))
     return spark.read.parquet(path)
 
 
@@ -143,10 +169,21 @@ def row_hashes(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")).alias("hash"))
 
 
+def source_key(spark: SparkSession, path: str) -> str:
+    """What state a file or folder is in: the sha256 of its files' names, lengths and times."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, found = fs.listFiles(fs.resolvePath(p), True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def cached(spark: SparkSession, folder: str, key: Mapping[str, object], make: Callable[[], DataFrame], valid: Callable[[DataFrame], bool] = lambda df: True) -> DataFrame:
     """The table that a key names: read if there and valid, else made, written and read."""
     path = f"{folder}/{fingerprint(key)}"
-    if exists(spark, path):
+    if committed(spark, path):
         df = spark.read.parquet(path)
         if valid(df):
             return df
