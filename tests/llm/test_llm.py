@@ -399,3 +399,55 @@ def test_units_of_nulls(spark, splitter):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "One. Two here.", 0), (3, "One. Two here.", 1)], "doc_id long, text string, sent_start int")
     got = sorted(tuple(r) for r in sentences.split_column(df, "doc_id", "text", splitter.model).collect())
     assert got == [(3, 0, 4), (3, 0, 4), (3, 5, 14), (3, 5, 14)]
+
+
+# --- added with the second round -------------------------------------------------------------
+
+
+def test_evenly_spread_edits_are_found(spark):
+    rng = random.Random(12)
+    recs = {}
+    for k in range(100):
+        n, e = rng.choice([(200, 15), (60, 4), (120, 9)])
+        a = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        b = list(a)
+        for i in range(e):
+            b[int((i + 0.5) * n / e)] = f"x{rng.randrange(10**9)}"
+        recs[f"r{k:03d}a"], recs[f"r{k:03d}b"] = " ".join(a), " ".join(b)
+    df = spark.createDataFrame([(i, None, t) for i, t in recs.items()], "id string, title string, content string").repartition(4)
+    want = near_brute(recs)
+    assert len(want) >= 95
+    got = {(r.id_a, r.id_b) for r in neardup.near_pairs(df).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+    assert {(r.id_a, r.id_b) for r in neardup.near_pairs(df, exhaustive=True).collect()} == want
+
+
+@pytest.mark.parametrize("text", ["I have to leave that one unanswered.", "That's not something I'm going to get into.", "I don't have access to that information.", "Darauf werde ich nicht eingehen.", "Je n'ai pas accès à cette information.", "No tengo acceso a esa información."])
+def test_refusals_in_other_words(text):
+    assert defects.is_refusal(text, words(text))
+
+
+def test_no_refusal_in_an_answer():
+    for text in ["The desk can't be moved, and nobody knows the answer to that question.", "I walked to the harbour and asked for information about the boats."]:
+        assert not defects.is_refusal(text, words(text))
+
+
+def test_chain_is_longest_and_alignment_exact():
+    rng = random.Random(3)
+    for _ in range(50):
+        seeds = [(rng.randrange(9), rng.randrange(9)) for _ in range(10)]
+        best = max(n for n in range(1, 11) for c in itertools.combinations(sorted(set(seeds)), n) if all(p[0] < q[0] and p[1] < q[1] for p, q in zip(c, c[1:])))
+        got = overlap.chain(seeds)
+        assert len(got) == best and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+    assert overlap._common("abcbdab", "bdcaba") == 4 and overlap._common("", "a") == 0
+    a = "averylongcommonanswer" * 3
+    (x,), (y,) = overlap._places([a]), overlap._places([a])
+    assert overlap.whole(a, a, x, y) and not overlap.whole(a, a[:-1] + "x", x, overlap._places([a[:-1] + "x"])[0])
+
+
+def test_quotations_of_any_length_and_unknown_abbreviations(splitter):
+    for n in (3, 40):
+        text = "He said: “" + ("This is one long sentence that goes on. " * n).strip() + "” Then he left."
+        assert len(splitter.units(text)) == 2
+    for text in ["Gov. Lindqvist met Pvt. Adams on Monday.", "She holds a Ph.D. and an M.Sc. from Oslo."]:
+        assert [text[a:b] for a, b in splitter.units(text)] == [text]
