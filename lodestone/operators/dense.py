@@ -150,15 +150,23 @@ def _block_search(q: DataFrame, v: DataFrame, top_k: int, metric: str, shard: st
     # With shards only equal ones meet, as the blocks' key has the shard.
     keys = [shard] if shard else []
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = q.withColumn("p", block("qid", nq)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
-    right = v.withColumn("r", block("row_idx", nv)).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    # A new name for the vector: both sides may come of one table.
+    left = q.withColumnRenamed("vector", "asked").withColumn("asked", F.slice("asked", 1, F.size("asked"))).withColumn("qid", F.col("qid").cast("long")).withColumn("p", block("qid", nq)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
+    right = v.withColumn("row_idx", F.col("row_idx").cast("long")).withColumn("r", block("row_idx", nv)).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    def of(t: pa.Table, kind) -> pa.Array:
+        """The id, the one long, or the vector, the one list: the names of a cogroup's columns may be changed."""
+        found = [c for c in t.columns if kind(c.type)]
+        if not found:
+            raise TypeError(f"no such column in {t.schema}")
+        return found[0].combine_chunks()
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table({"qid": pa.array([], pa.int64()), "row_idx": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        best = Best(_matrix(a.column("vector").combine_chunks())[1], top_k, metric)
-        best.add(b.column("row_idx").to_numpy().astype(np.int64), _matrix(b.column("vector").combine_chunks())[1])
-        return pa.Table.from_batches([best.rows(a.column("qid").to_numpy().astype(np.int64))])
+        best = Best(_matrix(of(a, pa.types.is_list))[1], top_k, metric)
+        best.add(of(b, pa.types.is_int64).to_numpy(), _matrix(of(b, pa.types.is_list))[1])
+        return pa.Table.from_batches([best.rows(of(a, pa.types.is_int64).to_numpy())])
 
     group = ["p", "r", *keys]
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(run, HITS)
