@@ -20,7 +20,7 @@ QUERIES, TEXTS = 2048, 4096
 #: Texts, and words of texts, that a task holds at once.
 HELD_TEXTS, HELD_WORDS = 1 << 16, 1 << 23
 #: A product costs as much by itself as this many in the dense product; columns of that product at most.
-SINGLE, DENSE = 120, 1024
+SINGLE, DENSE = 600, 1024
 #: Products of one term in a tile from which it is added by itself.
 ALONE = 256
 
@@ -216,20 +216,24 @@ class Search:
             low = (self.least[who] * (1 - margin)).astype(np.float32)
             hit = np.flatnonzero((s >= low[:, None]) & (s > 0))
             r, c = np.divmod(hit, s.shape[1])
-            parts.append((who[r], j + c))
+            parts.append((who[r], j + c, s.reshape(-1)[hit]))
             held += len(hit)
             if held > 16 * self.k * len(who):
                 self._settle(self._exact(parts, t))
                 parts, held = [], 0
         self._settle(self._exact(parts, t))
 
-    def _exact(self, parts: list[tuple[np.ndarray, np.ndarray]], t: Texts) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Scores in double precision of pairs of a query and a text."""
+    def _exact(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], t: Texts) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Scores in double precision of ``(query, text, score)``, less those that k others surely pass."""
         if not parts:
             return []
-        who, at = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(who, kind="stable")
-        who, at = who[order], at[order]
+        who, at, near = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((-near, who))
+        who, at, near = who[order], at[order], near[order]
+        last = np.searchsorted(who, who) + self.k - 1
+        full = last < np.searchsorted(who, who, "right")
+        low = np.where(full, near[np.minimum(last, len(who) - 1)] * (1 - 2 * self.q.error), 0) if len(who) else near
+        who, at = who[near >= low], at[near >= low]
         found = []
         for i, x, n in zip(*np.unique(who, return_index=True, return_counts=True)):
             terms, of = self._with(i), at[x : x + n]
