@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: Queries, and texts, of one tile: 32 MB of scores.
 QUERIES, TEXTS = 2048, 4096
 #: Texts, and words of texts, that a task holds at once.
-HELD_TEXTS, HELD_WORDS = 1 << 16, 1 << 23
+HELD_TEXTS, HELD_WORDS = 1 << 15, 1 << 22
 #: A product costs as much by itself as this many in the dense product; columns of that product at most.
 SINGLE, DENSE = 600, 1024
 #: Products of one term in a tile from which it is added by itself.
