@@ -187,7 +187,7 @@ def cached(spark: SparkSession, folder: str, key: Mapping[str, object], make: Ca
         df = spark.read.parquet(path)
         if valid(df):
             return df
-    make().write.mode("overwrite").parquet(path)
+    make().write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,13 @@ def test_equal_texts_have_equal_scores_wherever_they_are_read(spark):
     found = LexicalIndex.build(s).search(q, 12).collect()
     assert {r.row_idx for r in found} == set(range(1, 24, 2))
     assert len({r.score for r in found}) == 1
+
+
+def test_kept_index_is_written_small(spark, tmp_path):
+    """The index is most of a search's disk; as Spark compresses by default it takes 1.7 times as much."""
+    s = spark.createDataFrame([(i, " ".join(t)) for i, t in some(3, 40).items()], "row_idx long, body string")
+    LexicalIndex.build(s, folder=f"file://{tmp_path}", key={"source": "these"})
+    files = list(tmp_path.glob("*/*.parquet"))
+    groups = [pq.ParquetFile(f).metadata.row_group(0) for f in files if pq.ParquetFile(f).metadata.num_row_groups]
+    assert len({f.parent for f in files}) == 2
+    assert groups and {g.column(i).compression for g in groups for i in range(g.num_columns)} == {"ZSTD"}
